@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster that lacks that path the package goes with ``--py-files`` as usual.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
