@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import chat, exact_dedup, mixing, url_filters
+from twinsift.llm import bpe, chat, exact_dedup, language_id, mixing, near_dups, quality, url_filters
 from twinsift.runtime import table
 
+try:
+    import public_tokenizers
+
+    #: The vocabulary that the queries use; the operator takes any path.
+    VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+except ImportError:
+    VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,19 +24,35 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.chat(chat.conversations_with_probe(spark, sf_dir)))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op4_mixing, op8_chat_formatting, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_language_id, op4_mixing, op6_quality, op7_near_dups, op8_chat_formatting, op9_bpe, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": url_filters.op1_sql(),
