@@ -21,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests on one
-    machine) is a temporary one used.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a
+    temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder, which all executors share, and go on from there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
