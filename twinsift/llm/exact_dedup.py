@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.llm.rows import row_key
 from twinsift.runtime import checkpoint
 
 #: Digests in a shard, about; a shard's filter takes some 2.3 bytes a digest.
@@ -115,9 +116,10 @@ def _keys(digests: pd.Series) -> np.ndarray:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the normalised text, 32 bytes), long (code points of the text)."""
+    """doc_id, row, digest (SHA-256 of the normalised text, 32 bytes), long (code points of the text)."""
     return docs.select(
         "doc_id",
+        row_key().alias("row"),
         F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("long"),
     )
@@ -175,13 +177,13 @@ def check_bytes(texts: DataFrame) -> DataFrame:
     return texts.groupBy("digest").agg((F.min("body") == F.max("body")).alias("equal"))
 
 
-def dedup(docs: DataFrame, incoming: Column | None = None) -> DataFrame:
+def dedup(docs: DataFrame, incoming: Column | None = None, with_rows: bool = False) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``incoming`` tells the new batch from the snapshot; by default crc32(doc_id) deals the table to
     two, and the result is the same for every deal. A null text is empty; empty texts form a group;
     repeated rows are members of their own, and of rows that agree in doc_id too all are ``kept``
-    that equal the best one. Raises if two texts with one SHA-256 differ.
+    that equal the best one. ``with_rows`` adds each row's key. Raises if two texts with one SHA-256 differ.
     """
     incoming = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 1, F.lit(False)) if incoming is None else incoming
     rows = checkpoint(digests(docs).withColumn("incoming", incoming))
@@ -203,6 +205,7 @@ def dedup(docs: DataFrame, incoming: Column | None = None) -> DataFrame:
         raise ValueError("texts that differ share a SHA-256")
     own = _better()
     return rows.join(groups, "digest").select(
+        *(["row"] if with_rows else []),
         "doc_id",
         F.when(F.col("best.col2") != -((1 << 63) - 1), -F.col("best.col2")).alias("keep_id"),
         F.col("n").cast("long").alias("group_size"),
