@@ -1,8 +1,8 @@
 """Chat formatting from reply trees.
 
-Messages point at the message that they answer. Pointer doubling (self-joins over the 1, 2, 4, ...
-steps towards the root) scores every leaf's path and then lists the paths that were chosen, so the
-number of joins grows with the logarithm of the depth. Each path becomes one conversation.
+Messages point at the message that they answer. Self-joins over the 1, 2, 4, ... steps towards the
+root list each leaf's path, so their number grows with the logarithm of the depth; a tree's paths
+rank by score, and each one chosen becomes a conversation.
 """
 
 from __future__ import annotations
@@ -33,39 +33,31 @@ def unescape(text: Column) -> Column:
 def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """Root-to-leaf paths of reply trees: leaf, branch (rank in its tree, from 1), depth (root: 0), id.
 
-    ``messages``: id, parent (null: a root), score. The ids are distinct strings. A tree's branches
-    rank by the sum of the scores along the path, then by leaf; ``branches`` keeps the best so many
-    (all by default). A parent that doesn't exist counts as none; messages on a cycle, and what hangs
-    on one, reach no root and so are on no path. A null score counts 0.
+    ``messages``: id, parent (null: a root), score. The ids are distinct. A tree's branches rank by the
+    sum of the scores along the path, then by leaf; ``branches`` keeps the best so many (all by
+    default). A parent that doesn't exist counts as none; messages on a cycle, and what hangs on one,
+    reach no root and so are on no path. A null score counts 0.
     """
     m = messages.select("id", "parent", F.coalesce("score", F.lit(0)).cast("double").alias("score"))
     known = m.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    m = m.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"), "score")
-    m = checkpoint(m)
+    m = checkpoint(m.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"), "score"))
     n = m.count()
-    # jumps[j]: id -> the message 2**j steps up, with the scores of the steps in between
-    jumps = [checkpoint(m.filter("parent is not null").select("id", F.col("parent").alias("up"), F.col("score").alias("sum")))]
-    while not jumps[-1].isEmpty() and 1 << len(jumps) <= n:
-        a, b = jumps[-1], jumps[-1].select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"))
-        jumps.append(checkpoint(a.join(b, "up").select("id", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"))))
-    jumps = jumps[:-1] if len(jumps) > 1 and jumps[-1].isEmpty() else jumps
-    leaves = m.join(m.select(F.col("parent").alias("id")), "id", "left_anti").select(F.col("id").alias("leaf"), F.col("id").alias("at"), F.lit(0.0).alias("sum"))
-    walked = leaves
-    for jump in reversed(jumps):  # the largest steps that still fit, so each leaf ends at its root
-        step = jump.select(F.col("id").alias("at"), "up", F.col("sum").alias("more"))
-        walked = walked.join(step, "at", "left").select("leaf", F.coalesce("up", "at").alias("at"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"))
-    roots = m.filter("parent is null").select(F.col("id").alias("at"), "score")
-    ranked = walked.join(roots, "at").select("leaf", F.col("at").alias("root"), (F.col("sum") + F.col("score")).alias("score"))
+    paths = m.join(m.select(F.col("parent").alias("id")), "id", "left_anti").select(F.col("id").alias("leaf"), "id", F.lit(0).alias("steps"))
+    jump = m.filter("parent is not null").select("id", F.col("parent").alias("up"))  # 2 ** j steps up
+    j = 0
+    while 1 << j <= n:
+        jump = checkpoint(jump)
+        if jump.isEmpty():
+            break
+        above = paths.join(jump, "id").select("leaf", F.col("up").alias("id"), (F.col("steps") + (1 << j)).alias("steps"))
+        paths = checkpoint(paths.unionByName(above))
+        jump = jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up"))
+        j += 1
+    scored = paths.join(m, "id").groupBy("leaf").agg(F.sum("score").alias("score"), F.max("steps").alias("depth"), F.max(F.when(F.col("parent").isNull(), F.col("id"))).alias("root"))
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.col("score").desc(), "leaf"))
-    chosen = ranked.withColumn("branch", rank)
+    chosen = scored.filter("root is not null").withColumn("branch", rank)
     chosen = chosen if branches is None else chosen.filter(F.col("branch") <= branches)
-    paths = checkpoint(chosen.select("leaf", "branch", F.col("leaf").alias("id"), F.lit(0).alias("up_steps")))
-    for j, jump in enumerate(jumps):
-        above = paths.join(jump.select("id", "up"), "id").select("leaf", "branch", F.col("up").alias("id"), (F.col("up_steps") + (1 << j)).alias("up_steps"))
-        paths = checkpoint(paths.unionByName(above))
-    # counted from the root: a window over one path, which one conversation holds anyway
-    depth = F.max("up_steps").over(Window.partitionBy("leaf")) - F.col("up_steps")
-    return paths.select("leaf", "branch", depth.alias("depth"), "id")
+    return paths.join(chosen.select("leaf", "branch", F.col("depth").alias("most")), "leaf").select("leaf", "branch", (F.col("most") - F.col("steps")).alias("depth"), "id")
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
