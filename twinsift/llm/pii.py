@@ -29,6 +29,8 @@ GENERALISE, REMOVE = 0.75, 0.9
 SUPPORT, LEAST = 3, 4
 TERM = r"[\p{L}\p{N}]{%d,}" % LEAST
 BLOCK = 256
+#: Bits of the screen that words pass before they are counted (a fixed size; the counts don't depend on it).
+SLOTS = 1 << 16
 
 
 def _sums_before(lengths: Column) -> Column:
@@ -114,13 +116,29 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float = GENE
     out = pairs.select("entity", "term").withColumn("disclosed", F.lit(0.0))
     if pairs.isEmpty():
         return out
-    wanted = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     n = docs.count()
-    p_e, p_et = F.col("n_e") / n, F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))
-    share = F.when(p_e < 1, F.log(p_et / p_e) / -F.log(p_e)).otherwise(0.0)
-    return pairs.join(n_t, "term").select("entity", "term", share.alias("disclosed")).filter(F.col("disclosed") >= generalise)
+    p_e = F.col("n_e") / n
+    share = lambda n_t: F.when(p_e < 1, F.log(F.least(F.col("n_et") / n_t, F.lit(1.0)) / p_e) / -F.log(p_e)).otherwise(0.0)
+    # a term is in no fewer documents than in those that hold entities, so it discloses no more than this
+    near_by = found.select("id", F.explode(_terms()).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_f"))
+    pairs = checkpoint(pairs.join(near_by, "term").filter(share(F.col("n_f")) >= generalise).drop("n_f"))
+    # words whose slot no such term has are left out before they are counted
+    slots = pairs.select(_slot(F.col("term")).alias("slot")).distinct().collect()
+    words = [0] * (SLOTS // 64)
+    for r in slots:
+        words[r["slot"] // 64] |= 1 << r["slot"] % 64
+    bits = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w) for w in words])
+    hit = lambda t: F.shiftright(F.get(bits, F.shiftright(_slot(t), 6)), _slot(t) % 64).bitwiseAND(F.lit(1)) == 1
+    n_t = docs.select(F.explode(F.filter(_terms(), hit)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    return pairs.join(n_t, "term").select("entity", "term", share(F.col("n_t")).alias("disclosed")).filter(F.col("disclosed") >= generalise)
+
+
+def _terms() -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
+
+
+def _slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
 
 
 def detect(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
