@@ -128,7 +128,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float = GENE
     for r in slots:
         words[r["slot"] // 64] |= 1 << r["slot"] % 64
     bits = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w) for w in words])
-    hit = lambda t: F.shiftright(F.get(bits, F.shiftright(_slot(t), 6)), _slot(t) % 64).bitwiseAND(F.lit(1)) == 1
+    hit = lambda t: F.bit_get(F.get(bits, F.shiftright(_slot(t), 6)), _slot(t) % 64) == 1
     n_t = docs.select(F.explode(F.filter(_terms(), hit)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     return pairs.join(n_t, "term").select("entity", "term", share(F.col("n_t")).alias("disclosed")).filter(F.col("disclosed") >= generalise)
 
