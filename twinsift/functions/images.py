@@ -7,6 +7,7 @@ import json
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIDE, KEPT = 32, 8
 
@@ -28,7 +29,7 @@ def phash(frame) -> int | None:
     return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def phash_column(frames: pd.Series) -> pd.Series:
     return pd.Series([phash(f) for f in frames], dtype="Int64")
 
@@ -53,6 +54,6 @@ def balanced(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def balanced_column(text: pd.Series) -> pd.Series:
     return text.map(balanced)

@@ -114,10 +114,18 @@ def calls_since(log: DataFrame, start: Column) -> DataFrame:
     return log.filter(F.col("created_at") >= start).agg(F.count("*").alias("calls"), F.avg("elapsed_ms").alias("avg_ms"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("files"))
 
 
+def _one_row(*counts: DataFrame) -> DataFrame:
+    """One-row frames of counts side by side, without a join."""
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def landed(groups: DataFrame, members: DataFrame, match_type: str = "llm") -> DataFrame:
     own = groups.filter(F.col("match_type") == match_type)
     held = members.join(own.select(F.col("id").alias("group_id")), "group_id", "left_semi")
-    return own.agg(F.count("*").alias("groups")).crossJoin(held.agg(F.count("*").alias("members")))
+    return _one_row(own.agg(F.count("*").alias("groups")), held.agg(F.count("*").alias("members")))
 
 
 def distance_histogram(pairs: DataFrame) -> DataFrame:
@@ -139,7 +147,7 @@ def coverage(files: DataFrame) -> DataFrame:
 def match_stats(groups: DataFrame, members: DataFrame, candidates: DataFrame) -> DataFrame:
     """What a name pass reports: candidates, groups by key and by tokens, members."""
     g = groups.agg(F.count(F.when(F.col("notes") == "resolution_only", 1)).alias("exact_key_groups"), F.count(F.when(F.col("notes") == "name_differs", 1)).alias("token_set_groups"))
-    return candidates.agg(F.count("*").alias("candidates")).crossJoin(g).crossJoin(members.agg(F.count("*").alias("members")))
+    return _one_row(candidates.agg(F.count("*").alias("candidates")), g, members.agg(F.count("*").alias("members")))
 
 
 def note_buckets(groups: DataFrame, members: DataFrame, files: DataFrame, by: Sequence[str] = ("note",)) -> DataFrame:

@@ -28,8 +28,8 @@ def media_only(found: DataFrame, media_type: str = "both") -> DataFrame:
     return found.filter(visible & media & (F.col("size") > 0)).withColumn("media_type", names.media_type_of("path"))
 
 
-_STREAM = T.StructType.fromDDL("codec_type string, codec_name string, width string, height string, sample_rate string, channels string, bit_rate string")
-_PROBE = T.StructType([T.StructField("streams", T.ArrayType(_STREAM)), T.StructField("format", T.StructType.fromDDL("duration string, bit_rate string"))])
+_STREAM = schema.table_of("codec_type string, codec_name string, width string, height string, sample_rate string, channels string, bit_rate string")
+_PROBE = T.StructType([T.StructField("streams", T.ArrayType(_STREAM)), T.StructField("format", schema.table_of("duration string, bit_rate string"))])
 
 
 def media_info(probe: Column) -> Column:
