@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces with more bytes than this get a tree of their own.
 WIDE = 128
-#: Pieces taken at a time, and distinct pieces remembered by a worker before it starts anew.
-CHUNK, REMEMBERED = 100_000, 300_000
+#: Pieces taken at a time, and distinct pieces in each of a task's two generations of remembered ones.
+CHUNK, REMEMBERED = 100_000, 120_000
 NONE = 1 << 62
 
 
@@ -176,12 +176,15 @@ def encode_pieces(pieces: Iterable[bytes], v: Vocabulary) -> dict[bytes, list[in
 
 
 class Codec:
-    """Encodes texts piece by piece, remembering pieces (never more than REMEMBERED)."""
+    """Encodes texts piece by piece. What was met lately is remembered, in a generation that becomes the
+    old one when it is full, so that frequent pieces stay and memory is bounded."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.pattern = regex.compile(PATTERN)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.special = {s: (str(i), 1, self.decode_bytes([i])) for s, i in v.special.items()}
+        self.known: dict[str, tuple[str, int, bytes]] = dict(self.special)
+        self.old: dict[str, tuple[str, int, bytes]] = {}
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         """The text's pieces in lists of some CHUNK, special tokens among them."""
@@ -196,15 +199,22 @@ class Codec:
                     yield some
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known and p not in self.v.special]
+        """Afterwards all of ``pieces`` are in ``known``."""
+        missing = [p for p in pieces if p not in self.known]
+        if missing and len(self.known) + len(missing) > REMEMBERED:
+            self.old, self.known = self.known, dict(self.special)
+            missing = [p for p in pieces if p not in self.known]
+        new = []
+        for p in missing:
+            entry = self.old.get(p)
+            if entry:
+                self.known[p] = entry
+            else:
+                new.append(p)
         ids = encode_pieces({p.encode() for p in new}, self.v)
         for p in new:
             x = ids[p.encode()]
             self.known[p] = (",".join(map(str, x)), len(x), self.decode_bytes(x))
-        for s, i in self.v.special.items():
-            self.known[s] = (str(i), 1, self.decode_bytes([i]))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join([self.v.token[i] for i in ids])
@@ -250,9 +260,6 @@ class Codec:
             yield n, ids.hexdigest(), decoded.hexdigest()
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text (null: empty, no tokens).
 
@@ -262,9 +269,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codecs.get(vocabulary)
-        if codec is None:  # what a worker remembers serves its later tasks too
-            codec = _codecs[vocabulary] = Codec(held.value)
+        codec = Codec(held.value)
         for b in batches:
             out = list(codec.digests(t if isinstance(t, str) else "" for t in b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [x[0] for x in out], "ids_sha256": [x[1] for x in out], "decoded_sha256": [x[2] for x in out]})

@@ -173,7 +173,7 @@ def predictor(spark, model: Model):
     def predict(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in text], columns=["lang_pred", "score", "rejected"])
 
-    return predict
+    return predict.asNondeterministic()  # else a filter on the result would predict again
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
