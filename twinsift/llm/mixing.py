@@ -66,13 +66,14 @@ def _solve(sizes: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
     fixed = F.when(F.col("source_size") == 0, 0.0).when(share >= cap * (1 - 1e-9), inf)
     state = sources.select("key", "target", mean.alias("mean"), F.coalesce(fixed, F.log(share)).alias("lam"), (-inf).alias("lo"), inf.alias("hi"), fixed.isNotNull().alias("done"))
     state = checkpoint(state)
+    exact_sum = lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")  # noqa: E731  the same in any order, so reruns agree
     for _ in range(STEPS):
         x = F.col("size") / F.col("mean")
         rate = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
         words = F.col("n") * F.col("size")
         got = sizes.join(state.filter("not done"), "key").groupBy("key").agg(
-            F.sum(words * F.least(rate, F.lit(float(cap)))).alias("f"),
-            F.sum(F.when(rate < cap, words * x * rate).otherwise(0.0)).alias("slope"),
+            exact_sum(words * F.least(rate, F.lit(float(cap)))).alias("f"),
+            exact_sum(F.when(rate < cap, words * x * rate).otherwise(0.0)).alias("slope"),
         )
         off = F.log(F.col("f") / F.col("target"))
         lo = F.when(off < 0, F.col("lam")).otherwise(F.col("lo"))
