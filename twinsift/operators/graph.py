@@ -30,8 +30,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
     """``(node, component)`` for every end of an edge; the component is its smallest node.
 
-    Self-loops alone and null ends give no row. Each round is checkpointed, and the loop ends when
-    a round leaves the edge set unchanged; the driver sees two numbers a round, never a link.
+    Self-loops alone and null ends give no row. The loop ends when a round leaves the edge set
+    unchanged; the driver sees two numbers a round, never a link. Each round is checkpointed.
     """
     at = checkpoint(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
@@ -39,12 +39,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct()
     )
     was = None
+    n = at.count()
     for _ in range(max_rounds):
-        at = checkpoint(_star(_star(at, large=True), large=False))
+        at = checkpoint(_star(_star(at, large=True), large=False), n)
         now = at.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == was:
             break
-        was = now
+        was, n = now, now["n"]
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

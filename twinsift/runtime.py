@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,7 +31,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder, which all executors share, and go on from there."""
+#: Rows of a table that go to one checkpoint file, about, where their number is known.
+FILE_ROWS = 1_000_000
+
+
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder, which all executors share, and go on from there.
+
+    With ``rows`` (about as many as there are) it goes to no more files than it needs.
+    """
     checkpoint_dir(df.sparkSession)
+    df = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hold ``df`` for use by a few plans, in memory and beyond that on disk. What a lost executor held
+    is computed again, so ``df`` must be deterministic. Plans remain whole, so this isn't for loops."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
