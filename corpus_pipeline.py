@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from twinsift.llm import bpe, exact_dedup, language_id, mixing, near_dups
 from twinsift.llm.queries import VOCABULARY
 from twinsift.llm.rows import without
-from twinsift.runtime import checkpoint, checkpoint_dir, ready, table
+from twinsift.runtime import checkpoint_dir, keep, ready, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,16 +34,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row stays of those whose texts agree without white space."""
     ready(spark)
-    decided = checkpoint(exact_dedup.dedup(docs, with_rows=True).select("row", "kept"))
+    decided = keep(exact_dedup.dedup(docs, with_rows=True).select("row", "kept"))
     return without(docs.select(*COLUMNS), decided)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id (null last) stays of each group of near duplicates."""
     ready(spark)
-    classed = checkpoint(near_dups.near_classes(docs, with_rows=True).select("row", "component", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("me")))
+    classed = keep(near_dups.near_classes(docs, with_rows=True).select("row", "component", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("me")))
     best = classed.groupBy("component").agg(F.min("me").alias("best"))
-    decided = checkpoint(classed.join(best, "component").select("row", (F.col("me") == F.col("best")).alias("kept")))
+    decided = keep(classed.join(best, "component").select("row", (F.col("me") == F.col("best")).alias("kept")))
     return without(docs.select(*COLUMNS), decided)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinsift.runtime import checkpoint, table
+from twinsift.runtime import checkpoint, keep, table
 
 BEGIN, MID, END = "<|im_start|>", "<|im_sep|>\n", "<|im_end|>\n"
 #: Control strings of chat templates that a text must not hold as they are; a backslash goes behind
@@ -46,11 +46,11 @@ def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     jump = m.filter("parent is not null").select("id", F.col("parent").alias("up"))  # 2 ** j steps up
     j = 0
     while 1 << j <= n:
-        jump = checkpoint(jump)
+        jump = checkpoint(jump, n)
         if jump.isEmpty():
             break
         above = paths.join(jump, "id").select("leaf", F.col("up").alias("id"), (F.col("steps") + (1 << j)).alias("steps"))
-        paths = checkpoint(paths.unionByName(above))
+        paths = checkpoint(paths.unionByName(above), 2 * n)
         jump = jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up"))
         j += 1
     scored = paths.join(m, "id").groupBy("leaf").agg(F.sum("score").alias("score"), F.max("steps").alias("depth"), F.max(F.when(F.col("parent").isNull(), F.col("id"))).alias("root"))
@@ -105,7 +105,7 @@ def chat(rows: DataFrame) -> DataFrame:
     conv_id is a conversation too."""
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     name = lambda n: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), n.cast("string"))
-    rows = checkpoint(rows.select("conv_id", "role", "text", at.alias("n")))
+    rows = keep(rows.select("conv_id", "role", "text", at.alias("n")))
     messages = rows.select(name(F.col("n")).alias("id"), F.when(F.col("n") > 1, name(F.col("n") - 1)).alias("parent"), F.lit(0.0).alias("score"))
     paths = reply_paths(messages)
     out = format_paths(paths, rows.select(name(F.col("n")).alias("id"), "role", "text"))

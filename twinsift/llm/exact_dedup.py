@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.rows import row_key
-from twinsift.runtime import checkpoint
+from twinsift.runtime import checkpoint, keep
 
 #: Digests in a shard, about; a shard's filter takes some 2.3 bytes a digest.
 SHARD_DIGESTS = 250_000
@@ -186,8 +186,8 @@ def dedup(docs: DataFrame, incoming: Column | None = None, with_rows: bool = Fal
     that equal the best one. ``with_rows`` adds each row's key. Raises if two texts with one SHA-256 differ.
     """
     incoming = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 1, F.lit(False)) if incoming is None else incoming
-    rows = checkpoint(digests(docs).withColumn("incoming", incoming))
-    old, new = checkpoint(group(rows.filter("not incoming"))), checkpoint(group(rows.filter("incoming")))
+    rows = keep(digests(docs).withColumn("incoming", incoming))
+    old, new = keep(group(rows.filter("not incoming"))), keep(group(rows.filter("incoming")))
     shards = max(1, -(-old.count() // SHARD_DIGESTS))
     filters = snapshot_filters(old, shards)
     screened = checkpoint(screen(new.select("digest", "n", "best"), filters, shards))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsift.runtime import checkpoint
+from twinsift.runtime import checkpoint, keep
 
 #: Most copies of a document, and so most of a source's target over its size.
 CAP = 3
@@ -65,7 +65,8 @@ def _solve(sizes: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
     share = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
     fixed = F.when(F.col("source_size") == 0, 0.0).when(share >= cap * (1 - 1e-9), inf)
     state = sources.select("key", "target", mean.alias("mean"), F.coalesce(fixed, F.log(share)).alias("lam"), (-inf).alias("lo"), inf.alias("hi"), fixed.isNotNull().alias("done"))
-    state = checkpoint(state)
+    n = sources.count()
+    state = checkpoint(state, n)
     exact_sum = lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")  # noqa: E731  the same in any order, so reruns agree
     for _ in range(STEPS):
         x = F.col("size") / F.col("mean")
@@ -87,7 +88,7 @@ def _solve(sizes: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
             F.when(F.col("done"), F.col("hi")).otherwise(hi).alias("hi"),
             (F.col("done") | F.coalesce(F.abs(off) <= TOLERANCE, F.lit(True))).alias("done"),
         )
-        state = checkpoint(new)
+        state = checkpoint(new, n)
         if state.filter("not done").isEmpty():
             break
     return state.select("key", "mean", "lam", "target")
@@ -125,11 +126,11 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[i
                        F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"), F.xxhash64("doc_id", F.lit(7)).alias("_hash"), F.col("doc_id").alias("_id"))
     narrow = set(own) <= {"doc_id"}
     if narrow:
-        docs = checkpoint(docs)
-    parts = checkpoint(docs.groupBy("key", "_source", "size", "part").agg(F.count("*").alias("m")))
+        docs = keep(docs)
+    parts = keep(docs.groupBy("key", "_source", "size", "part").agg(F.count("*").alias("m")))
     sizes = checkpoint(parts.groupBy("key", "_source", "size").agg(F.sum("m").alias("n")))
     sources = sizes.groupBy("key", F.col("_source").alias("source")).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
-    sources = checkpoint(targets(sources, weights, cap).select("key", "source_size", "n_docs", "target"))
+    sources = keep(targets(sources, weights, cap).select("key", "source_size", "n_docs", "target"))
     dual = _solve(sizes, sources, cap)
     rate = F.when(F.col("target") <= 0, F.lit(0.0)).when(F.col("size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(rate)

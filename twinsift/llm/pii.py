@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.runtime import checkpoint
+from twinsift.runtime import checkpoint, keep
 
 #: Patterns and order of the kinds (fixed values of the contract). Runs are possessive and start at
 #: their first character, which finds the same matches in time proportional to the text.
@@ -150,7 +150,7 @@ def detect(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPO
     based = with_base(docs)
     name = F.xxhash64("doc_id", "text")
     found = based.withColumn("entities", _entities()).filter(F.size("entities") > 0).select(name.alias("id"), "text", "entities")
-    found = checkpoint(found)
+    found = keep(found)
     terms = disclosing_terms(found, docs, generalise, support)
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,disclosed:double>>")
     if terms.isEmpty():
