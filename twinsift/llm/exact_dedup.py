@@ -20,6 +20,8 @@ from twinsift.runtime import checkpoint, keep
 
 #: Digests in a shard, about; a shard's filter takes some 2.3 bytes a digest.
 SHARD_DIGESTS = 250_000
+#: Parts that the texts of each shared digest are dealt to for the byte check.
+PARTS = 16
 
 
 def normalised(text: Column) -> Column:
@@ -197,10 +199,11 @@ def dedup(docs: DataFrame, incoming: Column | None = None, with_rows: bool = Fal
     wrong = found.join(old, "digest", "left_anti")  # let through, yet in no bucket: new after all
     fresh = screened.filter("not positive").select("digest", "n", "best").unionByName(wrong.select("digest", F.col("n2").alias("n"), F.col("best2").alias("best")))
     groups = checkpoint(merged.select("digest", "n", "best").unionByName(fresh))
-    shared = groups.filter("n > 1").select("digest")
+    shared = groups.filter("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     # Compared are the bytes of all that share a digest, snapshot's buckets and new groups alike.
-    body = docs.select(F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"), normalised(F.col("text")).cast("binary").alias("body"))
-    bytes_of = body.join(shared, "digest", "left_semi")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part")
+    body = docs.select(F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"), part, normalised(F.col("text")).cast("binary").alias("body"))
+    bytes_of = body.join(shared, ["digest", "part"], "left_semi")
     if not check_bytes(bytes_of).filter("not equal").isEmpty():
         raise ValueError("texts that differ share a SHA-256")
     own = _better()
