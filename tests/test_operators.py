@@ -123,3 +123,34 @@ def test_schema_helpers(spark):
     bad = spark.createDataFrame([(1, None, "video"), (2, "p", "text")], "id int, path string, media_type string")
     got = {r["id"]: r["broken"] for r in schema.violations(bad, schema.FILES, {"media_type": schema.MEDIA_TYPES}).collect()}
     assert got == {1: ["path"], 2: ["media_type"]}
+
+
+def test_source_table(spark):
+    from twinsift.operators import source_table as st
+
+    s = spark.createDataFrame([(1, "a", "/m/a", "both", 0, True, None, None)], schema.SOURCES)
+    s = st.create(s, name="b", path="/m/b/", priority=2)
+    assert [r["path"] for r in st.by_name(s, "b").collect()] == ["/m/b"] and st.by_id(s, 2).first()["enabled"]
+    with pytest.raises(ValueError):
+        st.create(s, name="c", path="/m/a/")
+    s = st.update(s, 1, enabled=False, notes=None, name="z")
+    assert st.by_id(s, 1).first()[:2] == (1, "z") and not st.by_id(s, 1).first()["enabled"]
+    files = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id bigint, source_id bigint")
+    left, orphans = st.delete(s, files, 2)
+    assert left.count() == 1 and {r["id"]: r["source_id"] for r in orphans.collect()} == {1: 1, 2: None, 3: None}
+    folders = spark.createDataFrame([("/m/a/",), ("/m/b",)], "path string")
+    assert [r["name"] for r in st.usable(s, folders).collect()] == ["b"]
+
+
+def test_auto_delete(spark):
+    groups = spark.createDataFrame([(1, "video", "exact", 1.0, None, False, None), (2, "video", "filename", 0.8, None, False, None)], schema.GROUPS)
+    members = spark.createDataFrame([(1, 1, False, None), (1, 2, True, None), (2, 3, True, None), (2, 4, False, None)], schema.MEMBERS)
+    files = schema.conform(spark.createDataFrame([(i, f"/m/a/{'long' * (i == 1)}{i}.mp4", "video", 10 * i, "done", 1) for i in range(1, 5)], "id bigint, path string, media_type string, size bigint, status string, source_id bigint"), schema.FILES)
+    sources = spark.createDataFrame([(1, "a", "/m/a", "both", 0, True, None, None)], schema.SOURCES)
+    plan, after = actions.auto_delete_exact(groups, members, files, sources, "20240102")
+    assert [(r["file_id"], r["dst"], r["bytes_freed"]) for r in plan.collect()] == [(2, "/m/a/.trash/20240102/2__2.mp4", 20)]
+    assert {r["id"]: r["reviewed"] for r in after.collect()} == {1: True, 2: False}
+    plan, _ = actions.auto_delete(groups, members, files, sources, "20240102", ["filename"], mark=False)
+    assert [r["file_id"] for r in plan.collect()] == [4]
+    with pytest.raises(ValueError):
+        actions.auto_delete(groups, members, files, sources, "d", threshold=0.5)

@@ -113,3 +113,17 @@ def settle(files: DataFrame, log: DataFrame) -> DataFrame:
     out = files.join(last, F.col("id") == F.col("file_id"), "left")
     status = F.when(F.col("last.action") == "missing", "missing").when((F.col("last.action") == "delete") & F.col("last.succeeded"), "deleted").otherwise(F.col("status"))
     return out.withColumn("status", status).drop("file_id", "last")
+
+
+def auto_delete(groups: DataFrame, members: DataFrame, files: DataFrame, sources: DataFrame, day: str, match_types: Sequence[str] = ("perceptual", "chromaprint"), media_type: str | None = None, threshold: float | None = None, mark: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(plan, groups after it). Exact and similarity runs mark keepers anew; runs by name or proposal
+    (``mark=False``) take the keepers that their matcher chose. The threshold must be in AUTO_RANGE."""
+    if threshold is not None:
+        checked_similarity(threshold)
+    chosen = selected(groups, match_types, media_type, threshold)
+    rows = marked(chosen, members, files, sources) if mark else members.join(chosen.select(F.col("id").alias("group_id")), "group_id", "left_semi")
+    return plan(chosen, rows, files, sources, day), reviewed(groups, chosen.select("id"))
+
+
+def auto_delete_exact(groups: DataFrame, members: DataFrame, files: DataFrame, sources: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
+    return auto_delete(groups, members, files, sources, day, ["exact"])
