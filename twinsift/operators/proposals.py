@@ -41,7 +41,7 @@ def batches(files: DataFrame, by: str = "parent_dir", batch: int = BATCH, least:
     at = F.row_number().over(Window.partitionBy("bucket").orderBy("path", "id"))
     rows = rows.join(sizes, "bucket").withColumn("at", at - 1)
     number = F.floor(F.col("at") / batch)
-    return rows.select("id", "path", "bucket", number.alias("batch"), (F.col("at") % batch + 1).alias("pos"), F.least(F.lit(batch), F.col("held") - number * batch).alias("batch_size"))
+    return rows.select("id", "path", "bucket", number.alias("batch"), (F.col("at") % batch + 1).cast("bigint").alias("pos"), F.least(F.lit(batch), F.col("held") - number * batch).alias("batch_size"))
 
 
 def prompts(rows: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SOURCES = """
 sources AS (SELECT DISTINCT regexp_extract(source, '([0-9]+)', 1)::BIGINT AS id, source AS name, '/media/' || source AS path,
-    regexp_extract(source, '([0-9]+)', 1)::BIGINT * 7 % 5 - 1 AS priority, regexp_extract(source, '([0-9]+)', 1)::BIGINT % 6 <> 0 AS enabled FROM documents
+    (regexp_extract(source, '([0-9]+)', 1)::BIGINT * 7 % 5 - 1)::INT AS priority, regexp_extract(source, '([0-9]+)', 1)::BIGINT % 6 <> 0 AS enabled FROM documents
     UNION ALL SELECT 1001, 'nested', '/media/src1/en/', 3, true)
 """
 
@@ -221,6 +221,6 @@ def calls_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CALLS = """
-calls AS (SELECT event_id AS id, ts AS created_at, event_id % 30 + 1 AS n_files, floor(value * 100)::INT AS elapsed_ms, event_id % 7 AS kind,
+calls AS (SELECT event_id AS id, ts AS created_at, (event_id % 30 + 1)::INT AS n_files, floor(value * 100)::INT AS elapsed_ms, event_id % 7 AS kind,
     CASE WHEN event_id % 10 = 0 THEN 'timeout' END AS error FROM events WHERE event_type IN ('click', 'view'))
 """
