@@ -23,19 +23,35 @@ class Matches(NamedTuple):
     members: DataFrame
 
 
-def matches(clusters: DataFrame, match_type: str) -> Matches:
-    """clusters: media_type, group_id, similarity, ids, keeper and perhaps notes."""
-    notes = F.col("notes") if "notes" in clusters.columns else F.lit(None).cast("string")
-    groups = clusters.select(F.col("group_id").alias("id"), "media_type", F.lit(match_type).alias("match_type"), "similarity", F.lit(False).alias("reviewed"), notes.alias("notes"))
-    members = clusters.select("group_id", "keeper", F.explode("ids").alias("file_id")).select("group_id", "file_id", (F.col("file_id") == F.col("keeper")).alias("is_keeper"), F.lit(None).cast("string").alias("action"))
+def matches(rows: DataFrame, match_type: str) -> Matches:
+    """rows: a row for each member, with media_type, group_id, id, similarity, keeper and perhaps notes."""
+    notes = F.col("notes") if "notes" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("notes", notes)
+    groups = rows.groupBy("media_type", "group_id").agg(F.first("similarity").alias("similarity"), F.first("notes").alias("notes"))
+    groups = groups.select(F.col("group_id").alias("id"), "media_type", F.lit(match_type).alias("match_type"), "similarity", F.lit(False).alias("reviewed"), "notes")
+    members = rows.select("group_id", F.col("id").alias("file_id"), (F.col("id") == F.col("keeper")).alias("is_keeper"), F.lit(None).cast("string").alias("action"))
     return Matches(groups, members)
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """Members as one sorted list a group: a form for reports, not for work at scale."""
+    keys = [c for c in rows.columns if c != "id"]
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def _with_keeper(rows: DataFrame, rule: str, *aggregates: Column) -> DataFrame:
+    """``rows`` (group_id and a file each) with the group's keeper and other aggregates. Groups are
+    summed with map-side halves and joined back; no group is gathered."""
+    each = rows.groupBy("group_id").agg(keepers.keeper(rule).alias("keeper"), *aggregates)
+    return rows.join(each, "group_id")
+
+
 def exact_clusters(files: DataFrame) -> DataFrame:
-    """Files (done, with a hash) of one media type with one hash: two or more."""
+    """Members of groups of files (done, with a hash) of one media type with one hash: two or more."""
     done = files.filter("sha256 is not null and status = 'done'")
-    out = done.groupBy("media_type", "sha256").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("id").alias("group_id"), F.count("*").alias("n")).filter("n > 1")
-    return out.select("media_type", "group_id", F.lit(1.0).alias("similarity"), "ids", F.col("group_id").alias("keeper"))
+    shared = done.groupBy("media_type", "sha256").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).filter("n > 1")
+    rows = done.select("media_type", "sha256", "id").join(shared, ["media_type", "sha256"])
+    return rows.select("media_type", "group_id", "id", F.lit(1.0).alias("similarity"), F.col("group_id").alias("keeper"))
 
 
 def exact_member_ids(files: DataFrame) -> DataFrame:
@@ -83,16 +99,16 @@ def clusters_of(edges: DataFrame, best: str) -> DataFrame:
 
 def perceptual_clusters(files: DataFrame, without: DataFrame | None = None, threshold: float = DISTANCE, tolerance: int = blocking.TOLERANCE) -> DataFrame:
     edges = perceptual_pairs(files, without, tolerance).filter(F.col("score") <= threshold)
-    rows = clusters_of(edges, "min").join(files, "id")
-    out = rows.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.greatest(F.lit(0.0), 1 - F.avg("best") / 64).alias("similarity"), keepers.keeper("perceptual").alias("keeper"))
-    return out.select(F.lit("video").alias("media_type"), F.col("component").alias("group_id"), "similarity", "ids", "keeper")
+    rows = clusters_of(edges, "min").join(files, "id").withColumnRenamed("component", "group_id")
+    out = _with_keeper(rows, "perceptual", F.greatest(F.lit(0.0), 1 - F.avg("best") / 64).alias("similarity"))
+    return out.select(F.lit("video").alias("media_type"), "group_id", "id", "similarity", "keeper")
 
 
 def acoustic_clusters(files: DataFrame, without: DataFrame | None = None, threshold: float = SIMILARITY, tolerance: int = blocking.TOLERANCE) -> DataFrame:
     edges = acoustic_pairs(files, without, tolerance).filter(F.col("score") >= threshold)
-    rows = clusters_of(edges, "max").join(files, "id")
-    out = rows.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.avg("best").alias("similarity"), keepers.keeper("chromaprint").alias("keeper"))
-    return out.select(F.lit("audio").alias("media_type"), F.col("component").alias("group_id"), "similarity", "ids", "keeper")
+    rows = clusters_of(edges, "max").join(files, "id").withColumnRenamed("component", "group_id")
+    out = _with_keeper(rows, "chromaprint", F.avg("best").alias("similarity"))
+    return out.select(F.lit("audio").alias("media_type"), "group_id", "id", "similarity", "keeper")
 
 
 # ---------------------------------------------------------------- file names
@@ -106,9 +122,10 @@ def named(files: DataFrame, media_type: str | None = None) -> DataFrame:
 
 
 def name_key_groups(cands: DataFrame, least: int = 2) -> DataFrame:
-    """media_type, name_key, ids of files with one key, ``least`` or more."""
+    """media_type, name_key, group_id, n, id of files with one key, ``least`` or more."""
     keyed = cands.filter("name_key <> ''")
-    return keyed.groupBy("media_type", "name_key").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    shared = keyed.groupBy("media_type", "name_key").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    return keyed.select("media_type", "name_key", "id").join(shared, ["media_type", "name_key"])
 
 
 def name_singletons(cands: DataFrame) -> DataFrame:
@@ -136,7 +153,7 @@ def filename_clusters(files: DataFrame, least: int = 2, threshold: float = TOKEN
     Similarity is 1 for one key and else the mean over all pairs; notes say which it was.
     """
     cands = checkpoint(named(files))
-    by_key = name_key_groups(cands, least).select("media_type", F.array_min("ids").alias("group_id"), F.explode("ids").alias("id"), F.lit(1.0).alias("similarity"), F.lit("resolution_only").alias("notes"))
+    by_key = name_key_groups(cands, least).select("media_type", "group_id", "id", F.lit(1.0).alias("similarity"), F.lit("resolution_only").alias("notes"))
     singles = name_singletons(cands)
     edges = checkpoint(name_pairs(singles, threshold, **caps))
     rows = connected_components(edges, "a", "b").select(F.col("component").alias("group_id"), F.col("node").alias("id")).join(singles.select("id", "media_type", "tokens"), "id")
@@ -144,7 +161,7 @@ def filename_clusters(files: DataFrame, least: int = 2, threshold: float = TOKEN
     rows = rows.join(big, "group_id", "left_semi")
     by_tokens = rows.join(mean_jaccard(rows, "group_id"), "group_id").select("media_type", "group_id", "id", "similarity", F.lit("name_differs").alias("notes"))
     every = by_key.unionByName(by_tokens).join(cands.drop("media_type"), "id")
-    return every.groupBy("media_type", "group_id", "similarity", "notes").agg(F.sort_array(F.collect_list("id")).alias("ids"), keepers.keeper("filename").alias("keeper"))
+    return _with_keeper(every, "filename").select("media_type", "group_id", "id", "similarity", "notes", "keeper")
 
 
 # ---------------------------------------------------------------- all together

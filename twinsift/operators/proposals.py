@@ -101,5 +101,6 @@ def proposal_clusters(taken: DataFrame, files: DataFrame, media_type: str = "vid
     at = connected_components(edges, "a", "b")
     conf = first.join(at.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.max("confidence").alias("similarity"))
     rows = at.withColumnRenamed("node", "id").join(files, "id")
-    out = rows.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("ids"), keepers.keeper("llm").alias("keeper")).join(conf, "component")
-    return out.select(F.lit(media_type).alias("media_type"), F.col("component").alias("group_id"), "similarity", "ids", "keeper")
+    best = rows.groupBy("component").agg(keepers.keeper("llm").alias("keeper")).join(conf, "component")
+    out = rows.select("component", "id").join(best, "component")
+    return out.select(F.lit(media_type).alias("media_type"), F.col("component").alias("group_id"), "id", "similarity", "keeper")

@@ -44,7 +44,7 @@ def query(oracle: str | None = None):
 
 @query(sql("SELECT media_type, min(id) AS group_id, count(*) AS n, 1.0::DOUBLE AS similarity, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, min(id) AS keeper FROM files WHERE status = 'done' AND sha256 IS NOT NULL GROUP BY media_type, sha256 HAVING count(*) > 1", "files"))
 def exact_groups(spark, d):
-    out = matchers.exact_clusters(fx.files_doc(spark, d))
+    out = matchers.gathered(matchers.exact_clusters(fx.files_doc(spark, d)))
     return out.select("media_type", "group_id", F.size("ids").cast("bigint").alias("n"), "similarity", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "keeper")
 
 
@@ -119,12 +119,12 @@ def perceptual_clusters(spark, d):
 
 
 def _clusters(c):
-    return c.select("media_type", "group_id", F.size("ids").cast("bigint").alias("n"), F.round("similarity", 6).alias("similarity"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return matchers.gathered(c).select("media_type", "group_id", F.size("ids").cast("bigint").alias("n"), F.round("similarity", 6).alias("similarity"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query(sql("SELECT component AS group_id, arg_max(f.id, (f.size, length(path), -f.id)) AS keeper FROM parts_of p JOIN files f ON f.id = p.id GROUP BY component", "files", more=",".join([_EXACT, _VIDEO.format(without=_OUTSIDE), _WINDOW, _VPAIRS, "edges AS (SELECT * FROM scored WHERE score <= 12)", _REACH])))
 def keeper_perceptual(spark, d):
-    return matchers.perceptual_clusters(*_without(spark, d)).select("group_id", "keeper")
+    return matchers.perceptual_clusters(*_without(spark, d)).select("group_id", "keeper").distinct()
 
 
 @query(sql("SELECT 'audio' AS media_type, component AS group_id, count(*) AS n, round(avg(best), 6) AS similarity, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM parts_of JOIN best USING (id) GROUP BY component", "files", more=",".join([_EXACT, _AUDIO, _WINDOW, _APAIRS, "edges AS (SELECT * FROM scored WHERE score >= 0.85)", _REACH, _BEST_OF.format(f="max")])))
@@ -134,7 +134,7 @@ def acoustic_clusters(spark, d):
 
 @query(sql("SELECT component AS group_id, arg_max(f.id, (coalesce(bitrate, 0), f.size, -f.id)) AS keeper FROM parts_of p JOIN files f ON f.id = p.id GROUP BY component", "files", more=",".join([_EXACT, _AUDIO, _WINDOW, _APAIRS, "edges AS (SELECT * FROM scored WHERE score >= 0.85)", _REACH])))
 def keeper_acoustic(spark, d):
-    return matchers.acoustic_clusters(*_without(spark, d)).select("group_id", "keeper")
+    return matchers.acoustic_clusters(*_without(spark, d)).select("group_id", "keeper").distinct()
 
 
 @query(sql("SELECT round_even(score, 0)::INT AS distance, count(*) AS n, sum(count(*)) OVER (ORDER BY round_even(score, 0)::INT)::BIGINT AS cumulative FROM scored GROUP BY 1", "files", more=",".join([_VIDEO.format(without=""), _WINDOW, _VPAIRS])))
@@ -172,7 +172,7 @@ def content_tokens(spark, d):
 
 @query(sql("SELECT media_type, name_key, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, count(*) AS n FROM named WHERE name_key <> '' GROUP BY media_type, name_key HAVING count(*) > 1", "named"))
 def filename_exact_key(spark, d):
-    out = matchers.name_key_groups(matchers.named(fx.files_part(spark, d)))
+    out = matchers.gathered(matchers.name_key_groups(matchers.named(fx.files_part(spark, d))).drop("group_id"))
     return out.withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
 
@@ -227,7 +227,7 @@ by_name AS (SELECT min(id) OVER (PARTITION BY media_type, name_key) AS group_id,
 
 @query(sql("SELECT 'video' AS media_type, group_id, round(similarity, 6) AS similarity, notes, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM by_name GROUP BY group_id, similarity, notes", "named", more=",".join([_SINGLE, _DIRS, _BY_NAME])))
 def filename_clusters(spark, d):
-    out = matchers.filename_clusters(fx.files_part(spark, d))
+    out = matchers.gathered(matchers.filename_clusters(fx.files_part(spark, d)))
     return out.select("media_type", "group_id", F.round("similarity", 6).alias("similarity"), "notes", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -236,7 +236,7 @@ _RANK = f"coalesce(CASE regexp_extract(lower(path), '(?:^|[^a-z0-9])({'|'.join(n
 
 @query(sql(f"SELECT group_id, arg_max(id, (priority, {_RANK}, coalesce(width * height, 0), coalesce(bitrate, 0), size, -id)) AS keeper FROM by_name JOIN parts USING (id) GROUP BY group_id", "named", more=",".join([_SINGLE, _DIRS, _BY_NAME])))
 def keeper_filename(spark, d):
-    return matchers.filename_clusters(fx.files_part(spark, d)).select("group_id", "keeper")
+    return matchers.filename_clusters(fx.files_part(spark, d)).select("group_id", "keeper").distinct()
 
 
 @query(sql("SELECT component AS group_id, round(avg(len(list_intersect(x.tokens, y.tokens))::DOUBLE / len(list_distinct(list_concat(x.tokens, y.tokens)))), 6) AS similarity FROM k x JOIN k y USING (component) WHERE x.id < y.id GROUP BY component", "named", more="k AS (SELECT id, tokens, regexp_extract(path, '^(/[^/]*/[^/]*/[^/]*)', 1) AS component FROM named WHERE id % 7 = 0)"))
@@ -506,7 +506,7 @@ def llm_proposal_filter(spark, d):
 def keeper_llm(spark, d):
     rows, files = _batched(spark, d)
     taken = checkpoint(proposals.accepted(fx.proposals_part(rows), rows))
-    return proposals.proposal_clusters(taken, files).select("group_id", "keeper", "similarity")
+    return proposals.proposal_clusters(taken, files).select("group_id", "keeper", "similarity").distinct()
 
 
 # ---------------------------------------------------------------- changes

@@ -147,14 +147,15 @@ def groups_doc(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     """Groups, members and files: exact groups over files of every status, dealt to all match types."""
     files = files_doc(spark, sf_dir)
     found = matchers.exact_clusters(files.withColumn("status", F.lit("done")))
+    each = found.filter("id = group_id")
     g = F.col("group_id")
     match = F.get(F.array(*[F.lit(m) for m in ("exact", "perceptual", "chromaprint", "filename", "llm")]), (g % 5).cast("int"))
-    groups = found.select(
+    groups = each.select(
         g.alias("id"), "media_type", match.alias("match_type"), F.when(g % 7 != 0, 0.7 + g % 30 / 100.0).alias("similarity"), (g % 3 == 0).alias("reviewed"),
         F.when((g % 5 == 3) & (g % 11 != 0), F.when(g % 2 == 0, "resolution_only").otherwise("name_differs")).alias("notes"),
     )
     f = F.col("file_id")
-    members = found.select("group_id", F.explode("ids").alias("file_id")).select(
+    members = found.select("group_id", F.col("id").alias("file_id")).select(
         "group_id", "file_id", (f == g).alias("is_keeper"), F.get(F.array(F.lit(None), F.lit("keep"), F.lit("delete"), F.lit("ignore")), ((g + f) % 4).cast("int")).alias("action")
     )
     return groups, members, files
