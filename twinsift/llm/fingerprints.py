@@ -17,8 +17,8 @@ PLACE_BITS, HASH_BITS = 27, 36
 LAST = (1 << PLACE_BITS) - 1
 #: Words: runs of letters and digits; ideographs stand alone.
 WORD = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
-#: Ranges of doc_id for each shuffle partition, and most ranges at all.
-RANGES, MOST = 4, 8192
+#: Ranges of doc_id for each shuffle partition, most ranges at all, and ids looked at for each.
+RANGES, MOST, LOOKED_AT = 4, 1 << 16, 200
 
 
 def with_picks(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -65,9 +65,14 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return with_picks(docs.select("doc_id", "text"), "text", "picks").select("doc_id", "picks", printed(F.col("picks")).alias("fingerprint"))
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array, which the optimiser folds."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _place_of(key: Column, bounds: list[int]) -> Column:
     """How many of ``bounds``, descending, are at least ``key``, less one: a binary search."""
-    held = F.array(*[F.lit(b) for b in bounds])
+    held = _longs(bounds)
     steps = F.array(*[F.lit(1 << s) for s in range(max(0, len(bounds).bit_length() - 1), -1, -1)])
     at = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(held, at + s - 1) >= key), at + s).otherwise(at))
     return at - 1
@@ -76,18 +81,21 @@ def _place_of(key: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, picks and those of the next document by descending doc_id (after the last: the first).
 
-    doc_id is cut to ranges at approximate quantiles, which are ids of the table; a range's first
-    document also stands at the end of the range before. One shuffle moves each text once; the driver
-    gets at most MOST ids. Equal ids are ordered by a hash of the text; a null id is the smallest.
+    doc_id is cut to ranges at approximate quantiles, which are ids of the table, of some ids chosen by
+    hash (cuts decide which task a text goes to and nothing else); a range's first document also stands
+    at the end of the range before. One shuffle moves each text once; the driver gets at most MOST ids. Equal ids are ordered by a hash of the text; a null id is the smallest.
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_key"))
     n = min(MOST, RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("cuts"), F.max("_key").alias("top")).first()
-    bounds = sorted({*(cuts["cuts"] or []), *([cuts["top"]] if cuts["top"] is not None else [0])}, reverse=True)
+    every = max(1, docs.count() // (LOOKED_AT * n))
+    top = docs.agg(F.max("_key").alias("top")).first()["top"]
+    ids = docs.filter(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0)
+    cuts = ids.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("cuts")).first()["cuts"]
+    bounds = sorted({*(cuts or []), top if top is not None else 0}, reverse=True)
     home = _place_of(F.col("_key"), bounds)
     docs = docs.withColumn("_home", home)
-    first = F.get(F.array(*[F.lit(b) for b in bounds]), F.col("_home")) == F.col("_key")
+    first = F.get(_longs(bounds), F.col("_home")) == F.col("_key")
     both = F.array(F.struct(F.col("_home").alias("range"), F.lit(False).alias("guest")), F.struct(F.pmod(F.col("_home") - 1, F.lit(len(bounds))).alias("range"), F.lit(True).alias("guest")))
     own = F.array(F.struct(F.col("_home").alias("range"), F.lit(False).alias("guest")))
     docs = docs.withColumn("_at", F.explode(F.when(first, both).otherwise(own))).select("doc_id", "text", "_key", "_at.range", "_at.guest")
