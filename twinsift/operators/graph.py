@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from twinsift.runtime import checkpoint
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction over undirected ``edges`` (u, v), u > v in the input of the small star.
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One contraction over ``n`` undirected ``edges`` (u, v), u > v in the input of the small star.
 
     Every node's neighbours are tied to the smallest node of its neighbourhood: those above the
-    node (large star) or those below it (small star).
+    node (large star) or those below it (small star). The smallest neighbours are written before they
+    join the edges, so that both sides of that join are plain shuffles and a hub's edges can be split.
     """
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), n)
     tied = both.join(low, "u")
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -41,7 +42,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     was = None
     n = at.count()
     for _ in range(max_rounds):
-        at = checkpoint(_star(_star(at, large=True), large=False), n)
+        at = checkpoint(_star(checkpoint(_star(at, True, n), n), False, n), n)
         now = at.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == was:
             break
