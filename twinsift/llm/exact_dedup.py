@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from twinsift.llm.rows import row_key
 from twinsift.runtime import checkpoint, keep
 
-#: Digests in a shard, about; a shard's filter takes some 2.3 bytes a digest.
+#: Digests in a shard, about, of the snapshot or the batch; a shard's filter takes some 2.3 bytes a digest.
 SHARD_DIGESTS = 250_000
 #: Parts that the texts of each shared digest are dealt to for the byte check.
 PARTS = 16
@@ -190,7 +190,7 @@ def dedup(docs: DataFrame, incoming: Column | None = None, with_rows: bool = Fal
     incoming = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 1, F.lit(False)) if incoming is None else incoming
     rows = keep(digests(docs).withColumn("incoming", incoming))
     old, new = keep(group(rows.filter("not incoming"))), keep(group(rows.filter("incoming")))
-    shards = max(1, -(-old.count() // SHARD_DIGESTS))
+    shards = max(1, -(-max(old.count(), new.count()) // SHARD_DIGESTS))
     filters = snapshot_filters(old, shards)
     screened = checkpoint(screen(new.select("digest", "n", "best"), filters, shards))
     found = screened.filter("positive").select("digest", F.col("n").alias("n2"), F.col("best").alias("best2"))
