@@ -9,11 +9,18 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch at most: whole texts are long, and a worker holds a batch several times over.
+BATCH_ROWS = 2000
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and bound their batches.
 
     On a cluster that lacks that path the package goes with ``--py-files`` as usual.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark
 
