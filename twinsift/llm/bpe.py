@@ -8,6 +8,8 @@ step merges the root pair of every row at once. Long pieces use the same tree on
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import json
 import re
@@ -16,6 +18,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -24,7 +27,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pieces with more bytes than this get a tree of their own.
 WIDE = 128
 #: Pieces taken at a time, and distinct pieces in each of a task's two generations of remembered ones.
-CHUNK, REMEMBERED = 100_000, 120_000
+CHUNK, REMEMBERED = 60_000, 80_000
 NONE = 1 << 62
 
 
@@ -175,6 +178,13 @@ def encode_pieces(pieces: Iterable[bytes], v: Vocabulary) -> dict[bytes, list[in
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker waits for its next task beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Codec:
     """Encodes texts piece by piece. What was met lately is remembered, in a generation that becomes the
     old one when it is full, so that frequent pieces stay and memory is bounded."""
@@ -273,6 +283,8 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             out = list(codec.digests(t if isinstance(t, str) else "" for t in b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [x[0] for x in out], "ids_sha256": [x[1] for x in out], "decoded_sha256": [x[2] for x in out]})
+        del codec
+        give_back()
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
