@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from twinsift.operators.graph import connected_components
 
 
@@ -46,3 +48,9 @@ def test_random_graphs(spark):
 
 def test_empty(spark):
     assert found(spark, []) == {}
+
+
+def test_too_few_rounds_raise(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(100, 140)], "src bigint, dst bigint")
+    with pytest.raises(RuntimeError):
+        connected_components(df, max_rounds=1)

@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """``(node, component)`` for every end of an edge; the component is its smallest node.
 
     Self-loops alone and null ends give no row. The loop ends when a round leaves the edge set
-    unchanged; the driver sees two numbers a round, never a link. Each round is checkpointed.
+    unchanged, and raises if ``max_rounds`` don't suffice; the driver sees two numbers a round, never a
+    link. Each round is checkpointed.
     """
     at = checkpoint(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
@@ -47,6 +48,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == was:
             break
         was, n = now, now["n"]
+    else:
+        raise RuntimeError(f"components still changed after {max_rounds} rounds")
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
