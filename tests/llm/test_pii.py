@@ -91,6 +91,16 @@ def test_copies_of_a_line_prove_nothing(spark):
     assert not any(r["term"] for r in pii.detect(docs).collect())
 
 
+def test_terms_seen_once_with_an_entity(spark):
+    rows = [(1, "Li Zorblatt lives in plain words\nreach: boss@corp.example\nend")]
+    rows += [(100 + i, f"plain words reach the end of lives in text {i % 7}") for i in range(299)]
+    found = pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: [s["value"] for s in r["term"]] for r in found.collect()}
+    assert got.pop(1) == ["Li", "Zorblatt"] and not any(got.values())
+    clean = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(found).collect()}
+    assert clean[1] == "[NAME] [NAME] lives in plain words\nreach: [EMAIL]\nend"
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, entities string, told int")
     assert pii.digest(pii.detect(docs)).count() == 0

@@ -2,8 +2,9 @@
 
 The patterns find the protected entities. Over the corpus, the information that a term gives about
 an entity is log p(e|t) / p(e); set against the entity's own information -log p(e) it is the share
-that the term discloses. Terms on an entity's lines that disclose more than the thresholds allow are
-generalised or removed from the documents that hold the entity.
+that the term discloses. p(e|t) is smoothed towards p(e), so that rare pairs weigh less, but count.
+Terms of an entity's documents that disclose more than the thresholds allow are generalised or removed
+from the documents that hold the entity.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ KINDS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 #: Share of an entity's information above which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.9
-#: Different lines that must hold entity and term together, and least length of a term.
-SUPPORT, LEAST = 3, 4
-TERM = r"[\p{L}\p{N}]{%d,}" % LEAST
+#: Documents that p(e) weighs as much as in the estimate of p(e|t).
+SMOOTHING = 2.0
+TERM = r"[\p{L}\p{N}]+"
 BLOCK = 256
 #: Bits of the screen that words pass before they are counted (a fixed size; the counts don't depend on it).
 SLOTS = 1 << 16
@@ -100,48 +101,59 @@ def _entities() -> Column:
     return F.flatten(F.array(*[one(k) for k in KINDS]))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+def _bare() -> Column:
+    """The text without the values of its entities."""
+    longest_first = F.reverse(F.array_sort(F.array_distinct(F.transform("entities", lambda e: F.struct(F.length(e["value"]).alias("n"), e["value"].alias("value"))))))
+    return F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v["value"], F.lit(" ")))
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """entity, term, disclosed: terms that give away at least ``generalise`` of an entity's information.
 
     ``found``: id (names equal documents alike), text and entities of the documents that hold any.
-    Probabilities are shares of documents of the whole corpus. Lines that agree count once towards
-    ``support``, so copies of one line prove nothing.
+    Probabilities are shares of documents of the whole corpus, repeated rows included. What stands within
+    an entity's value is no term.
     """
-    held = found.select("id", "text", F.explode("entities").alias("e")).select("id", "text", "e.entity", "e.value")
-    lines = held.withColumn("line", F.explode(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.col("value")))))
-    lines = lines.select("id", "entity", F.xxhash64("line").alias("line_id"), F.lower(F.replace("line", "value", F.lit(" "))).alias("line"))
-    common = lines.groupBy("entity").agg(F.countDistinct("line_id").alias("k"), F.countDistinct("id").alias("n_e")).filter(F.col("k") >= support)
-    terms = lines.join(common.select("entity", "n_e"), "entity").select("entity", "n_e", "id", "line_id", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)))).alias("term"))
-    pairs = checkpoint(terms.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.countDistinct("id").alias("n_et"), F.countDistinct("line_id").alias("k")).filter(F.col("k") >= support))
-    out = pairs.select("entity", "term").withColumn("disclosed", F.lit(0.0))
-    if pairs.isEmpty():
-        return out
     n = docs.count()
     p_e = F.col("n_e") / n
-    share = lambda n_t: F.when(p_e < 1, F.log(F.least(F.col("n_et") / n_t, F.lit(1.0)) / p_e) / -F.log(p_e)).otherwise(0.0)
-    # a term is in no fewer documents than in those that hold entities, so it discloses no more than this
-    near_by = found.select("id", F.explode(_terms()).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_f"))
-    pairs = checkpoint(pairs.join(near_by, "term").filter(share(F.col("n_f")) >= generalise).drop("n_f"))
+    # a term of more documents discloses less than ``generalise``, even if it is in all those of the entity
+    most = lambda n_e: (n_e + SMOOTHING * n_e / n) / F.pow(n_e / n, F.lit(1 - generalise)) - SMOOTHING + 1e-6
+    distinct = F.explode(F.array_distinct("entities.entity")).alias("entity")
+    n_e = found.select(distinct).groupBy("entity").agg(F.count("*").alias("n_e"))
+    held = checkpoint(found.select("id", distinct).distinct().join(n_e, "entity"))
+    top = held.groupBy("id").agg(F.max("n_e").alias("top"))
+    bare = keep(found.select("id", "text", _bare().alias("bare")))
+    words = bare.select("id", F.explode(_terms("bare")).alias("term"))
+    seen = words.join(top, "id").groupBy("term").agg(F.count("*").alias("n_f"), F.max("top").alias("top"))
+    # a term is in no fewer documents than in those that hold entities
+    rare = checkpoint(seen.filter(F.col("n_f") <= most(F.col("top"))).select("term", "top"))
     # words whose slot no such term has are left out before they are counted
-    slots = pairs.select(_slot(F.col("term")).alias("slot")).distinct().collect()
+    slots = rare.select(_slot(F.col("term")).alias("slot")).distinct().collect()
     words = [0] * (SLOTS // 64)
     for r in slots:
         words[r["slot"] // 64] |= 1 << r["slot"] % 64
-    bits = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w) for w in words])
+    bits = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words])
     hit = lambda t: F.bit_get(F.get(bits, F.shiftright(_slot(t), 6)), _slot(t) % 64) == 1
     n_t = docs.select(F.explode(F.filter(_terms(), hit)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    return pairs.join(n_t, "term").select("entity", "term", share(F.col("n_t")).alias("disclosed")).filter(F.col("disclosed") >= generalise)
+    within = bare.select(F.explode(F.filter(F.array_except(_terms(), _terms("bare")), hit)).alias("term")).groupBy("term").agg(F.count("*").alias("n_w"))
+    rare = rare.join(n_t, "term").join(within, "term", "left").withColumn("n_t", F.col("n_t") - F.coalesce("n_w", F.lit(0)))
+    rare = checkpoint(rare.filter(F.col("n_t") <= most(F.col("top"))).select("term", "n_t"))
+    pairs = bare.select("id", F.explode(F.filter(_terms("bare"), hit)).alias("term")).join(rare, "term").join(held, "id").filter(F.col("n_t") <= most(F.col("n_e")))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    p_et = (F.col("n_et") + SMOOTHING * p_e) / (F.col("n_t") + SMOOTHING)
+    share = F.when(p_e < 1, 1 - F.log(p_et) / F.log(p_e)).otherwise(0.0)
+    return pairs.select("entity", "term", share.alias("disclosed")).filter(F.col("disclosed") >= generalise)
 
 
-def _terms() -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
+def _terms(text: str = "text") -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0)))
 
 
 def _slot(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
 
 
-def detect(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+def detect(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """Every document with its base spans by kind and the spans of disclosing terms.
 
     Returns doc_id, text, email, ip, card, phone and term, each an array of (start, end, value); those
@@ -151,11 +163,10 @@ def detect(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPO
     name = F.xxhash64("doc_id", "text")
     found = based.withColumn("entities", _entities()).filter(F.size("entities") > 0).select(name.alias("id"), "text", "entities")
     found = keep(found)
-    terms = disclosing_terms(found, docs, generalise, support)
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,disclosed:double>>")
-    if terms.isEmpty():
+    if found.isEmpty():
         return based.withColumn("term", none)
-    terms = checkpoint(terms)
+    terms = checkpoint(disclosing_terms(found, docs, generalise))
     told = found.select("id", F.explode("entities.entity").alias("entity")).distinct().join(terms, "entity")
     told = told.groupBy("id", "term").agg(F.max("disclosed").alias("disclosed")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosed"))).alias("told"))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("told"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
