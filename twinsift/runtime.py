@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -30,16 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a
-    temporary folder."""
+    """The session's ``spark.checkpoint.dir``. Where none is set, a temporary folder serves a session on
+    one machine; a cluster has to name one that its executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
 #: Rows of a table that go to one checkpoint file, about, where their number is known.
 FILE_ROWS = 1_000_000
+#: What the innermost ``holding`` block has checkpointed and persisted so far.
+_held: list[list[DataFrame]] = []
 
 
 def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -49,10 +58,58 @@ def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     df = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    return df.checkpoint(eager=True)
+    return _hold(_without_estimates(df.checkpoint(eager=True)))
+
+
+def _without_estimates(df: DataFrame) -> DataFrame:
+    """A checkpointed table without the size that its old plan was estimated at.
+
+    Estimates of joins are products. A loop that checkpoints a join each round would double their digits each
+    time, until the planner does little but multiply them; adaptive execution has the real sizes.
+    """
+    sc, session = df.sparkSession.sparkContext, df.sparkSession._jsparkSession
+    plan = df._jdf.queryExecution().analyzed()
+    none = sc._jvm.scala.Option.empty()
+    bare = sc._jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, session, none, none
+    )
+    return DataFrame(sc._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), df.sparkSession)
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Hold ``df`` for use by a few plans, in memory and beyond that on disk. What a lost executor held
     is computed again, so ``df`` must be deterministic. Plans remain whole, so this isn't for loops."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return _hold(df.persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def _hold(df: DataFrame) -> DataFrame:
+    if _held:
+        _held[-1].append(df)
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Free what ``keep`` holds of ``tables`` and delete the files that ``checkpoint`` wrote for them.
+
+    Only for tables that no plan will read again, one that recovers from a lost executor included.
+    """
+    for df in tables:
+        df.unpersist()
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() == "LogicalRDD":
+            path = plan.rdd().getCheckpointFile()
+            if path.isDefined():
+                sc = df.sparkSession.sparkContext
+                where = sc._jvm.org.apache.hadoop.fs.Path(path.get())
+                where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def holding() -> Iterator[None]:
+    """Discards at its end all tables that were held or checkpointed within, so results have to be written
+    or counted by then."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        discard(*_held.pop())
