@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def row_key() -> Column:
-    """A hash of doc_id and text. Rows that agree in both are repeated rows."""
-    return F.xxhash64(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id"), F.col("text").isNull().alias("b"), F.col("text")))
+    """128 bits of doc_id and text. Rows that agree in both are repeated rows."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    return F.unhex(F.md5(F.concat(named, F.when(F.col("text").isNull(), "-").otherwise("+"), F.coalesce("text", F.lit("")))))
 
 
 def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
