@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.runtime import checkpoint, discard
+from twinsift.runtime import checkpoint, discard, free_shuffles
 
 
 def _star(edges: DataFrame, large: bool, n: int) -> tuple[DataFrame, DataFrame]:
@@ -49,6 +49,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         discard(at, low, half, low_too)
         at = new
         now = at.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        free_shuffles(edges.sparkSession)
         if now == was:
             break
         was, n = now, now["n"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -104,6 +105,13 @@ def discard(*tables: DataFrame) -> None:
                 where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nobody holds any more. It acts on what the
+    driver's garbage collector finds, which otherwise may not run before a loop is over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def holding() -> Iterator[None]:
     """Discards at its end all tables that were held or checkpointed within, so results have to be written
