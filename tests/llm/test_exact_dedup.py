@@ -55,6 +55,12 @@ def test_bytes_are_checked(spark):
     assert {bytes(r["digest"]): r["equal"] for r in ed.check_bytes(df).collect()} == {b"d": False, b"e": True}
 
 
+def test_ends_of_the_ids(spark):
+    rows = [(i, text) for text in ("a", "b") for i in (None, (1 << 63) - 1, 0, -1, -(1 << 63))] + [(None, "c"), ((1 << 63) - 1, "c"), (None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ed.dedup(df).collect()), key=repr) == brute(rows)
+
+
 def test_odd_and_empty(spark):
     got = ed.dedup(odd(spark)).collect()
     assert len(got) == 11 and {r["doc_id"]: r["group_size"] for r in got}[5003] == 3

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -28,11 +29,14 @@ def test_held_out(spark):
     assert out.score.between(0, 1).all()
 
 
-def test_negative_labels_are_not_learned_from(spark):
+def test_which_labels_are_negative_does_not_matter(spark):
+    """Of the labels 0 only the number counts, for the prior: moving them to other documents changes nothing."""
     docs, labels = corpus(spark, 200)
-    flipped = labels.withColumn("quality", quality.F.when(quality.F.col("quality") == 0, 0).otherwise(1))
+    ids = [i for i in range(0, 200, 2) if not zlib.crc32(str(i).encode()) % 5 == 0]
+    zeros = [r["doc_id"] for r in labels.filter(~quality.held_out()).filter("quality = 0").collect()]
+    moved = labels.filter("quality = 1").union(spark.createDataFrame([(i, 0, 0) for i in ids[: len(zeros)]], labels.schema))
     a = quality.learn_and_score(docs, labels).orderBy("doc_id").collect()
-    assert a == quality.learn_and_score(docs, flipped).orderBy("doc_id").collect()
+    assert a == quality.learn_and_score(docs, moved).orderBy("doc_id").collect()
 
 
 def test_odd_and_empty(spark):
@@ -46,10 +50,10 @@ def test_odd_and_empty(spark):
 
 
 def test_slices_count_as_the_whole(monkeypatch):
-    text = "Some WORDS, and lines\nof text. " * 9
+    text = "Some WORDS, and lines\nof text. " * 99
     whole = quality.features(text)
     monkeypatch.setattr(quality, "SLICE", 31 * 3)
-    assert np.abs(quality.features(text) - whole).max() < 0.05
+    assert np.abs(quality.features(text) - whole).max() < 1e-6
 
 
 def test_documents_helper():

@@ -129,7 +129,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def _better() -> Column:
     """Orders rows of a group: most code points, then smallest doc_id (null last)."""
-    return F.struct(F.col("long"), -F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))
+    named = F.col("doc_id").isNotNull().alias("named")
+    return F.struct(F.col("long"), named, F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("turned"))
 
 
 def group(rows: DataFrame) -> DataFrame:
@@ -210,7 +211,7 @@ def dedup(docs: DataFrame, incoming: Column | None = None, with_rows: bool = Fal
     return rows.join(groups, "digest").select(
         *(["row"] if with_rows else []),
         "doc_id",
-        F.when(F.col("best.col2") != -((1 << 63) - 1), -F.col("best.col2")).alias("keep_id"),
+        F.when(F.col("best.named"), F.bitwise_not("best.turned")).alias("keep_id"),
         F.col("n").cast("long").alias("group_size"),
         (own == F.col("best")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),

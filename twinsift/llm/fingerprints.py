@@ -100,13 +100,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = F.array(F.struct(F.col("_home").alias("range"), F.lit(False).alias("guest")))
     docs = docs.withColumn("_at", F.explode(F.when(first, both).otherwise(own))).select("doc_id", "text", "_key", "_at.range", "_at.guest")
     docs = with_picks(docs.repartition("range"), "text", "picks")
-    order = Window.partitionBy("range").orderBy("guest", F.col("_key").desc(), F.xxhash64("text"))
+    order = Window.partitionBy("range").orderBy("guest", F.col("_key").desc(), F.col("doc_id").isNull(), F.xxhash64("text"))
     docs = docs.withColumns({"next_text": F.lead("text").over(order), "next_picks": F.lead("picks").over(order)})
     return docs.filter("not guest").select("doc_id", "text", "picks", "next_text", "next_picks")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """The contract's comparison of each text with its edited text and the next one."""
+    """The contract's comparison of each text with its edited text and the next one.
+
+    A null text is empty, a null doc_id the smallest. Rows of one doc_id follow each other by a hash of their texts; a
+    repeated row has its equal as the next one. A document that is alone is its own next one.
+    """
     pairs = with_next(docs).withColumn("n_chars", F.length("text"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars") - cut), F.substr("next_text", F.lit(1), cut))

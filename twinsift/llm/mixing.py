@@ -119,12 +119,14 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[i
     a source of its own, the last in order; a document without words is kept once (its copies take
     nothing). Equal sizes in a source are ranked by a hash of doc_id, so reruns agree; repeated rows
     are documents of their own. Which documents get the odd copy is ranked in PARTS parts of a
-    (source, size), so that a hot one is dealt out.
+    (source, size), so that a hot one is dealt out. Raises if a column to carry has the name of one of the result's.
     """
-    own = [c for c in carry if c not in ("key", "size", "part")]
-    docs = docs.select(*own, _key(F.col("source")).alias("key"), F.col("source").alias("_source"), size_of(F.col("text")).alias("size"),
+    if clash := set(carry) & {"size", "source_size", "target", "rate", "copies", "taken"}:
+        raise ValueError(f"columns to carry that the result has itself: {sorted(clash)}")
+    carried = F.struct(*[F.col(c) for c in carry]).alias("_carried")
+    docs = docs.select(carried, _key(F.col("source")).alias("key"), F.col("source").alias("_source"), size_of(F.col("text")).alias("size"),
                        F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"), F.xxhash64("doc_id", F.lit(7)).alias("_hash"), F.col("doc_id").alias("_id"))
-    narrow = set(own) <= {"doc_id"}
+    narrow = set(carry) <= {"doc_id"}
     if narrow:
         docs = keep(docs)
     parts = keep(docs.groupBy("key", "_source", "size", "part").agg(F.count("*").alias("m")))
@@ -146,5 +148,5 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[i
     rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("_hash", "_id"))
     copies = (F.col("base") + (rank <= F.col("odd")).cast("long")).cast("long")
     return docs.join(deal, ["key", "size", "part"]).select(
-        *own, "size", "source_size", "target", "rate", copies.alias("copies")
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+        "_carried.*", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    )

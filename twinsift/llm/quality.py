@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 PAIRS, HIDDEN, STEPS, RATE = 256, 24, 600, 0.01
 #: Positives and unlabelled documents that the network is fitted on, at most about so many.
 POSITIVES, UNLABELLED = 6000, 12000
-#: Code points taken at a time.
+#: Code points taken at a time, up to white space; a longer run without any is cut and counts as two words.
 SLICE = 1 << 19
 CUT = 0.3
 
@@ -28,11 +28,17 @@ def features(text: str | None) -> np.ndarray:
     text = text if isinstance(text, str) else ""
     chars, pairs = np.zeros(129), np.zeros(PAIRS)
     words = lines = upper_words = lone = 0
-    for i in range(0, len(text), SLICE):
-        c = np.minimum(np.frombuffer(text[i : i + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32), 128).astype(np.int64)
+    i = 0
+    while i < len(text):
+        part = text[i : i + SLICE]
+        if i + SLICE < len(text) and (space := max(part.rfind(s) for s in " \t\n\v\f\r")) >= 0:
+            part = part[: space + 1]  # so that no word is cut
+        follow = text[i + len(part) : i + len(part) + 1]
+        i += len(part)
+        c = np.minimum(np.frombuffer((part + follow).encode("utf-32-le", "surrogatepass"), np.uint32), 128).astype(np.int64)
+        pairs += np.bincount(((c[:-1] * 131 + c[1:]) * 0x9E3779B1 & 0xFFFFFFFF) * PAIRS >> 32, minlength=PAIRS)
+        c = c[: len(part)]
         chars += np.bincount(c, minlength=129)
-        if len(c) > 1:
-            pairs += np.bincount(((c[:-1] * 131 + c[1:]) * 0x9E3779B1 & 0xFFFFFFFF) * PAIRS >> 32, minlength=PAIRS)
         space = (c == 32) | ((c >= 9) & (c <= 13))
         starts = np.flatnonzero(~space & np.append(True, space[:-1]))
         ends = np.flatnonzero(~space & np.append(space[1:], True))
@@ -111,8 +117,8 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def _sample(n: int, most: int, salt: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30) < (most / n if n else 1.0)
+def _sample(n: int, most: int, salt: int, *of: str) -> Column:
+    return F.pmod(F.xxhash64(*of, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30) < (most / n if n else 1.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -120,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     Labels 1 are the positives; all other documents, whatever their label, are unlabelled, and with
     them the positives that the sample happens to hold. The prior is the share of label 1 among the
-    labels. About POSITIVES and UNLABELLED rows, chosen by a hash of doc_id, reach the driver.
+    labels. About POSITIVES and UNLABELLED rows, chosen by a hash of doc_id (and text), reach the driver.
     """
     docs = docs.filter(~held_out()).select("doc_id", "text")
     labels = labels.filter(~held_out()).filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -128,9 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     prior = (known["y"] + 0.5) / (known["n"] + 1)
     make = F.pandas_udf(lambda text: pd.Series([features(t).tobytes() for t in text]), "binary")
     load = lambda rows: np.stack([np.frombuffer(r[0], np.float32) for r in rows]) if rows else np.zeros((0, WIDTH), np.float32)
-    chosen = labels.filter("quality = 1").filter(_sample(known["y"], POSITIVES, 1)).select("doc_id")
+    chosen = labels.filter("quality = 1").filter(_sample(known["y"], POSITIVES, 1, "doc_id")).select("doc_id")
     positive = load(docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(make("text")).collect())
-    unlabelled = load(docs.filter(_sample(docs.count(), UNLABELLED, 2)).select(make("text")).collect())
+    unlabelled = load(docs.filter(_sample(docs.count(), UNLABELLED, 2, "doc_id", "text")).select(make("text")).collect())
     return train(positive, unlabelled, prior)
 
 
@@ -150,4 +156,6 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
 
 
 def learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score`` of every row by a network fitted on the rows that aren't held out. A null doc_id isn't held
+    out and has no label; without labels of 1 all scores are the same."""
     return score(docs.withColumn("held_out", held_out()), fit(docs, labels), ("doc_id", "held_out"))
