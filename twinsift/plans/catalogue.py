@@ -239,9 +239,9 @@ def keeper_filename(spark, d):
     return matchers.filename_clusters(fx.files_part(spark, d)).select("group_id", "keeper").distinct()
 
 
-@query(sql("SELECT component AS group_id, round(avg(len(list_intersect(x.tokens, y.tokens))::DOUBLE / len(list_distinct(list_concat(x.tokens, y.tokens)))), 6) AS similarity FROM k x JOIN k y USING (component) WHERE x.id < y.id GROUP BY component", "named", more="k AS (SELECT id, tokens, regexp_extract(path, '^(/[^/]*/[^/]*/[^/]*)', 1) AS component FROM named WHERE id % 7 = 0)"))
+@query(sql("SELECT component AS group_id, round(avg(len(list_intersect(x.tokens, y.tokens))::DOUBLE / len(list_distinct(list_concat(x.tokens, y.tokens)))), 6) AS similarity FROM k x JOIN k y USING (component) WHERE x.id < y.id GROUP BY component", "named", more="k AS (SELECT id, tokens, regexp_extract(path, '^(/[^/]*/[^/]*/[^/]*)', 1) AS component FROM named)"))
 def pairwise_group_jaccard(spark, d):
-    rows = matchers.named(fx.files_part(spark, d)).filter("id % 7 = 0").select("id", "tokens", F.regexp_extract("path", "^(/[^/]*/[^/]*/[^/]*)", 1).alias("group_id"))
+    rows = matchers.named(fx.files_part(spark, d)).select("id", "tokens", F.regexp_extract("path", "^(/[^/]*/[^/]*/[^/]*)", 1).alias("group_id"))
     return matchers.mean_jaccard(rows, "group_id").select("group_id", F.round("similarity", 6).alias("similarity"))
 
 

@@ -16,7 +16,9 @@ def files_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     words = F.split(F.lower(F.trim("text")), r"\s+")
     d = d.withColumn("words", words).withColumn("chunks", F.least(F.lit(16), F.greatest(F.lit(1), F.floor(F.size("words") / 8))).cast("int"))
-    chunk = lambda i: F.array_join(F.slice("words", i * 8 + 1, F.lit(8)), " ")
+    # chunks from the first word to the last, as frames are spread over a film
+    start_of = lambda i: F.floor(i * (F.size("words") - 8) / F.greatest(F.col("chunks") - 1, F.lit(1))).cast("int") + 1
+    chunk = lambda i: F.array_join(F.slice("words", start_of(i), F.lit(8)), " ")
     hashes = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.conv(F.substring(F.md5(chunk(i)), 1, 16), 16, -10).cast("bigint"))
     video = F.col("lang") == "en"
     whole = F.when(F.size("words") < 8, F.array(F.conv(F.substring(F.md5(F.array_join("words", " ")), 1, 16), 16, -10).cast("bigint"))).otherwise(hashes)
@@ -52,7 +54,7 @@ def files_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES = r"""
 files_words AS (SELECT *, string_split_regex(lower(trim(text)), '\s+') AS words FROM documents),
 files_hex AS (SELECT *, CASE WHEN len(words) < 8 THEN [substr(md5(array_to_string(words, ' ')), 1, 16)]
-    ELSE list_transform(range(0, least(16, len(words) // 8)), lambda i: substr(md5(array_to_string(list_slice(words, i * 8 + 1, i * 8 + 8), ' ')), 1, 16)) END AS hex FROM files_words),
+    ELSE list_transform(range(0, least(16, len(words) // 8)), lambda i: substr(md5(array_to_string(list_slice(words, i * (len(words) - 8) // greatest(least(16, len(words) // 8) - 1, 1) + 1, i * (len(words) - 8) // greatest(least(16, len(words) // 8) - 1, 1) + 8), ' ')), 1, 16)) END AS hex FROM files_words),
 files AS (SELECT doc_id AS id, '/media/' || source || '/' || lang || '/doc_' || doc_id || CASE WHEN lang = 'en' THEN '.mp4' ELSE '.mp3' END AS path,
     CASE WHEN lang = 'en' THEN 'video' ELSE 'audio' END AS media_type, n_chars AS size, sha256(text) AS sha256, n_chars / 100.0::DOUBLE AS duration,
     CASE WHEN lang = 'en' THEN list_transform(hex, lambda h: CASE WHEN ('0x' || h)::UBIGINT >= 9223372036854775808 THEN (('0x' || h)::UBIGINT::HUGEINT - 18446744073709551616)::BIGINT ELSE ('0x' || h)::UBIGINT::BIGINT END) END AS phashes,
