@@ -41,6 +41,14 @@ Z, CUT = 1.645, 0.5
 #: Bounds of a prior's strength in pages, and the strength where outcomes can't tell.
 WEAKEST, STRONGEST, UNKNOWN = 1.0, 1000.0, 10.0
 
+#: Public suffixes of several labels; any other host ends in a suffix of one label.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx",
+    "com.sg", "com.tr", "com.tw", "com.ua", "edu.au", "edu.cn", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.br", "org.uk",
+)
+#: Addresses, which are domains of their own under a suffix that no host has.
+_ADDRESS, _ADDRESSES = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])\z", "#"
+
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -63,45 +71,54 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule], what: str = "text
     return F.coalesce(*fits) if fits else F.lit(None).cast("string")
 
 
+def _patterns(suffixes: Sequence[str]) -> tuple[str, str]:
+    """What extracts a host's registered domain (a suffix and one label more), and its suffix."""
+    several = "".join(s.replace(".", r"\.") + "|" for s in suffixes)
+    return rf"(?:^|\.)([^.]+\.(?:{several}[^.]+))\z", rf"(?:^|\.)((?:{several}[^.]*))\z"
+
+
 def _strength(n: Column, y: Column, mean: Column) -> Column:
-    """A beta prior's strength from its groups' counts, by the moments of the beta-binomial."""
-    groups, pages = F.count("*"), F.sum(n)
-    spread = F.sum(y * y / n) - pages * mean * mean
-    over = spread / (mean * (1 - mean)) - (groups - 1)
-    room = pages - F.sum(n * n) / pages - (groups - 1)
-    share = F.when((room > 0) & (over > 0), over / room)
-    return F.coalesce(
-        F.least(F.greatest((1 - share) / share, F.lit(WEAKEST)), F.lit(STRONGEST)), F.lit(UNKNOWN)
-    )
+    """A beta prior's strength from its groups' counts round the means of their parents, by the moments of
+    the beta-binomial."""
+    groups = F.count("*")
+    off = y - n * mean
+    over = F.sum(off * off / (n * mean * (1 - mean))) - groups
+    room = F.sum(n) - groups
+    bounded = F.least(F.greatest((room - over) / over, F.lit(WEAKEST)), F.lit(STRONGEST))
+    return F.when((room > 0) & (over > 0), bounded).otherwise(UNKNOWN)
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
+def host_reputation(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Posterior of each host's rate of good outcomes.
 
     ``outcomes``: host, n (labelled pages), y (good ones), a row for each host, n = 0 allowed.
-    Returns host, n, y, rate (posterior mean) and upper (its bound). The driver gets four numbers.
+    Returns host, n, y, rate (posterior mean) and upper (its bound). ``suffixes`` are the public ones of
+    several labels; an address is its own domain. The driver gets four numbers.
     """
+    domain, suffix = _patterns(suffixes)
+    address = F.col("host").rlike(_ADDRESS)
     hosts = outcomes.select(
         "host",
-        F.when(F.col("host").rlike(r"[^.]+\.[^.]+$"), F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).otherwise(F.col("host")).alias("domain"),
-        F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix"),
+        F.when(~address & F.col("host").rlike(domain), F.regexp_extract("host", domain, 1)).otherwise(F.col("host")).alias("domain"),
+        F.when(address, _ADDRESSES).otherwise(F.regexp_extract("host", suffix, 1)).alias("suffix"),
         F.col("n").cast("double"),
         F.col("y").cast("double"),
     )
     hosts = checkpoint(hosts)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("y").alias("dy"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dy").alias("sy"))
-    top = suffixes.agg(((F.coalesce(F.sum("sy"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("sn"), F.lit(0.0)) + 1)).alias("m")).first()
+    ends = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dy").alias("sy"))
+    top = ends.agg(((F.coalesce(F.sum("sy"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("sn"), F.lit(0.0)) + 1)).alias("m")).first()
     m = F.lit(top["m"])
-    strength = lambda t, n, y: t.filter(F.col(n) > 0).agg(_strength(F.col(n), F.col(y), m).alias("k")).first()["k"]
-    ks, kd, kh = strength(suffixes, "sn", "sy"), strength(domains, "dn", "dy"), strength(hosts, "n", "y")
-    suffixes = suffixes.select("suffix", ((F.col("sy") + ks * m) / (F.col("sn") + ks)).alias("sm"))
-    domains = domains.join(suffixes, "suffix").select("domain", ((F.col("dy") + kd * F.col("sm")) / (F.col("dn") + kd)).alias("dm"))
+    strength = lambda t, n, y, mean: t.filter(F.col(n) > 0).agg(_strength(F.col(n), F.col(y), mean).alias("k")).first()["k"]
+    ks = strength(ends, "sn", "sy", m)
+    domains = domains.join(ends.select("suffix", ((F.col("sy") + ks * m) / (F.col("sn") + ks)).alias("sm")), "suffix")
+    kd = strength(domains, "dn", "dy", F.col("sm"))
+    hosts = hosts.join(domains.select("domain", ((F.col("dy") + kd * F.col("sm")) / (F.col("dn") + kd)).alias("dm")), "domain")
+    kh = strength(hosts, "n", "y", F.col("dm"))
     a = F.col("y") + kh * F.col("dm")
     b = F.col("n") - F.col("y") + kh * (1 - F.col("dm"))
     return (
-        hosts.join(domains, "domain")
-        .select("host", "n", "y", a.alias("a"), b.alias("b"))
+        hosts.select("host", "n", "y", a.alias("a"), b.alias("b"))
         .withColumn("rate", F.col("a") / (F.col("a") + F.col("b")))
         .withColumn("upper", F.col("rate") + Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("a") + F.col("b") + 1)))
         .select("host", "n", "y", "rate", "upper")
@@ -138,18 +155,17 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     )
 
 
-def op1_sql(rules: Sequence[Rule] = RULES) -> str:
+def op1_sql(rules: Sequence[Rule] = RULES, suffixes: Sequence[str] = SUFFIXES) -> str:
     """The same in DuckDB SQL."""
+    domain, suffix = _patterns(suffixes)
     ordered = sorted(rules, key=lambda r: (-len(r.text), -len(r.host), r.text))
     fit = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     case = lambda what: "CASE " + " ".join(f"WHEN {fit(r)} THEN '{getattr(r, what)}'" for r in ordered) + " END"
 
-    def k(n: str, y: str, t: str) -> str:
-        return f"""(SELECT coalesce(least(greatest((1 - share) / share, {WEAKEST}), {STRONGEST}), {UNKNOWN}) FROM (
-            SELECT CASE WHEN room > 0 AND over_ > 0 THEN over_ / room END AS share FROM (
-            SELECT (sum({y} * {y} / {n}) - sum({n}) * any_value(m) * any_value(m)) / (any_value(m) * (1 - any_value(m))) - (count(*) - 1) AS over_,
-                   sum({n}) - sum({n} * {n}) / sum({n}) - (count(*) - 1) AS room
-            FROM {t}, top WHERE {n} > 0)))"""
+    def k(n: str, y: str, mean: str, t: str) -> str:
+        return f"""(SELECT CASE WHEN room > 0 AND over_ > 0 THEN least(greatest((room - over_) / over_, {WEAKEST}), {STRONGEST}) ELSE {UNKNOWN} END FROM (
+            SELECT sum(({y} - {n} * {mean}) * ({y} - {n} * {mean}) / ({n} * {mean} * (1 - {mean}))) - count(*) AS over_, sum({n}) - count(*) AS room
+            FROM {t} WHERE {n} > 0))"""
 
     return f"""
     WITH parts AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS raw,
@@ -157,16 +173,20 @@ def op1_sql(rules: Sequence[Rule] = RULES) -> str:
     hosted AS (SELECT page_id, translate(raw, '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, path FROM parts),
     judged AS (SELECT *, {case("text")} AS rule, {case("verdict")} AS ruled,
                       regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM hosted),
-    hosts AS (SELECT site, CASE WHEN regexp_matches(site, '[^.]+\\.[^.]+$') THEN regexp_extract(site, '([^.]+\\.[^.]+)$', 1) ELSE site END AS domain,
-                     regexp_extract(site, '([^.]*)$', 1) AS suffix, count(ruled)::DOUBLE AS n,
+    hosts AS (SELECT site, CASE WHEN NOT regexp_matches(site, '{_ADDRESS}') AND regexp_matches(site, '{domain}') THEN regexp_extract(site, '{domain}', 1) ELSE site END AS domain,
+                     CASE WHEN regexp_matches(site, '{_ADDRESS}') THEN '{_ADDRESSES}' ELSE regexp_extract(site, '{suffix}', 1) END AS suffix, count(ruled)::DOUBLE AS n,
                      count(*) FILTER (ruled = 'allow')::DOUBLE AS y FROM judged GROUP BY site),
     domains AS (SELECT domain, suffix, sum(n) AS dn, sum(y) AS dy FROM hosts GROUP BY domain, suffix),
     suffixes AS (SELECT suffix, sum(dn) AS sn, sum(dy) AS sy FROM domains GROUP BY suffix),
     top AS (SELECT (coalesce(sum(sy), 0) + 0.5) / (coalesce(sum(sn), 0) + 1) AS m FROM suffixes),
-    ks AS (SELECT {k("sn", "sy", "suffixes")} AS ks, {k("dn", "dy", "domains")} AS kd, {k("n", "y", "hosts")} AS kh),
+    ks AS (SELECT {k("sn", "sy", "m", "suffixes, top")} AS ks),
     sm AS (SELECT suffix, (sy + ks * m) / (sn + ks) AS sm FROM suffixes, ks, top),
-    dm AS (SELECT domain, (dy + kd * sm) / (dn + kd) AS dm FROM domains JOIN sm USING (suffix), ks),
-    ab AS (SELECT site, y + kh * dm AS a, n - y + kh * (1 - dm) AS b FROM hosts JOIN dm USING (domain), ks),
+    ds AS (SELECT * FROM domains JOIN sm USING (suffix)),
+    kd AS (SELECT {k("dn", "dy", "sm", "ds")} AS kd),
+    dm AS (SELECT domain, (dy + kd * sm) / (dn + kd) AS dm FROM ds, kd),
+    hs AS (SELECT site, n, y, dm FROM hosts JOIN dm USING (domain)),
+    kh AS (SELECT {k("n", "y", "dm", "hs")} AS kh),
+    ab AS (SELECT site, y + kh * dm AS a, n - y + kh * (1 - dm) AS b FROM hs, kh),
     known AS (SELECT site, a / (a + b) AS rate, a / (a + b) + {Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS upper_ FROM ab)
     SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN upper_ < {CUT} THEN 'block' ELSE 'allow' END) AS verdict,
            round(rate, 6) AS host_rate, round(upper_, 6) AS host_upper
