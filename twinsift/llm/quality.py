@@ -2,7 +2,9 @@
 
 Trusted good documents and unlabelled ones train a small network under the non-negative unbiased
 risk (Kiryo et al., 2017): pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)), with
-the class prior pi estimated from the labels. The logistic loss makes the output a probability.
+the class prior pi estimated from positives and unlabelled documents alone: no share of the unlabelled
+that scores high can hold more positives than rows, which bounds the prior (Garg et al., 2021). The
+logistic loss makes the output a probability.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 PAIRS, HIDDEN, STEPS, RATE = 256, 24, 600, 0.01
 #: Positives and unlabelled documents that the network is fitted on, at most about so many.
 POSITIVES, UNLABELLED = 6000, 12000
+#: Newton steps and ridge of the classifier that the prior is estimated with, and the chance that its bound fails.
+FITS, RIDGE, UNSURE = 12, 1e-2, 0.1
 #: Code points taken at a time, up to white space; a longer run without any is cut and counts as two words.
 SLICE = 1 << 19
 CUT = 0.3
@@ -113,6 +117,33 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     return Model(mean, scale, p[0], p[1], p[2], float(p[3][0]))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from positives and unlabelled rows.
+
+    One half of the rows fits a linear classifier of the two; over scores of the other half, the prior is
+    the share of unlabelled rows above a cut by that of positives, at the cut with the best upper bound.
+    """
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 0.5
+    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 0.02
+    p, u = [np.column_stack([(a - mean) / scale, np.ones(len(a))]).astype(np.float64) for a in (positive, unlabelled)]
+    x = np.concatenate([p[::2], u[::2]])
+    y = np.append(np.ones(len(p[::2])), np.zeros(len(u[::2])))
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w = np.zeros(x.shape[1])
+    for _ in range(FITS):
+        s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (s - y)) + RIDGE * w
+        curve = (x * (weight * s * (1 - s))[:, None]).T @ x + RIDGE * np.eye(len(w))
+        w -= np.linalg.solve(curve, slope)
+    p, u = np.sort(p[1::2] @ w), np.sort(u[1::2] @ w)
+    above_p = 1 - np.searchsorted(p, p, "left") / len(p)
+    above_u = 1 - np.searchsorted(u, p, "left") / len(u)
+    unsure = np.sqrt(np.log(4 / UNSURE) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
+    at = np.argmin((above_u + 1.01 * unsure) / above_p)
+    return float(np.clip(above_u[at] / above_p[at], 0.01, 0.99))
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
@@ -125,19 +156,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on doc_id, text and labels (doc_id, quality) of rows that aren't held out.
 
     Labels 1 are the positives; all other documents, whatever their label, are unlabelled, and with
-    them the positives that the sample happens to hold. The prior is the share of label 1 among the
-    labels. About POSITIVES and UNLABELLED rows, chosen by a hash of doc_id (and text), reach the driver.
+    them the positives that the sample happens to hold. Labels 0 are not read. About POSITIVES and UNLABELLED rows, chosen by a hash of doc_id (and text), reach the driver.
     """
     docs = docs.filter(~held_out()).select("doc_id", "text")
-    labels = labels.filter(~held_out()).filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = labels.agg(F.count("*").alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("y")).first()
-    prior = (known["y"] + 0.5) / (known["n"] + 1)
+    labels = labels.filter(~held_out()).filter("quality = 1").select("doc_id").distinct()
     make = F.pandas_udf(lambda text: pd.Series([features(t).tobytes() for t in text]), "binary")
-    load = lambda rows: np.stack([np.frombuffer(r[0], np.float32) for r in rows]) if rows else np.zeros((0, WIDTH), np.float32)
-    chosen = labels.filter("quality = 1").filter(_sample(known["y"], POSITIVES, 1, "doc_id")).select("doc_id")
+    # in an order of their own, so that the fit doesn't depend on that of the files
+    load = lambda rows: np.stack([np.frombuffer(b, np.float32) for b in sorted(bytes(r[0]) for r in rows)]) if rows else np.zeros((0, WIDTH), np.float32)
+    chosen = labels.filter(_sample(labels.count(), POSITIVES, 1, "doc_id"))
     positive = load(docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(make("text")).collect())
     unlabelled = load(docs.filter(_sample(docs.count(), UNLABELLED, 2, "doc_id", "text")).select(make("text")).collect())
-    return train(positive, unlabelled, prior)
+    return train(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
