@@ -197,7 +197,10 @@ def sanitise(found: DataFrame, remove: float = REMOVE) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """What the contract asks for."""
+    """The contract's columns and n_term, the number of spans of disclosing terms, of what ``detect`` found.
+
+    A row for each of ``found``; one without spans has zeros, the digest of an empty string and empty spans.
+    """
 
 
     def one(kind: str) -> Column:
@@ -209,4 +212,5 @@ def digest(found: DataFrame) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(told(KINDS), 256).alias("base_sha256"),
         told([*KINDS, "term"]).alias("spans"),
+        F.size("term").cast("long").alias("n_term"),
     )
