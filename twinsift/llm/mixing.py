@@ -91,6 +91,8 @@ def _solve(sizes: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
         state = checkpoint(new, n)
         if state.filter("not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"rates of some sources still changed after {STEPS} Newton steps")
     return state.select("key", "mean", "lam", "target")
 
 
