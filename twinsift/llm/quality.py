@@ -117,14 +117,32 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     return Model(mean, scale, p[0], p[1], p[2], float(p[3][0]))
 
 
+def _best_bin(p: np.ndarray, u: np.ndarray) -> float:
+    """From scores of positives and of unlabelled rows, the share of the unlabelled above a cut by that of the
+    positives, at the cut with the best upper bound."""
+    p, u = np.sort(p), np.sort(u)
+    above_p = 1 - np.searchsorted(p, p, "left") / len(p)
+    above_u = 1 - np.searchsorted(u, p, "left") / len(u)
+    unsure = np.sqrt(np.log(4 / UNSURE) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
+    at = np.argmin((above_u + 1.01 * unsure) / above_p)
+    return float(np.clip(above_u[at] / above_p[at], 0.01, 0.99))
+
+
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among the unlabelled, from positives and unlabelled rows.
 
-    One half of the rows fits a linear classifier of the two; over scores of the other half, the prior is
-    the share of unlabelled rows above a cut by that of positives, at the cut with the best upper bound.
+    Scores of rows that the scorer wasn't fitted on give a bound. A linear classifier of the two gives the
+    first; with that as prior, the network fitted on either half and scoring the other gives better ones.
     """
     if len(positive) < 2 or len(unlabelled) < 2:
         return 0.5
+    first = _linear_prior(positive, unlabelled)
+    halves = [(positive[i::2], unlabelled[i::2]) for i in (0, 1)]
+    models = [train(p, u, first) for p, u in halves]
+    return float(np.mean([_best_bin(m.score(p), m.score(u)) for m, (p, u) in zip(models, halves[::-1], strict=True)]))
+
+
+def _linear_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 0.02
     p, u = [np.column_stack([(a - mean) / scale, np.ones(len(a))]).astype(np.float64) for a in (positive, unlabelled)]
     x = np.concatenate([p[::2], u[::2]])
@@ -136,12 +154,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
         slope = x.T @ (weight * (s - y)) + RIDGE * w
         curve = (x * (weight * s * (1 - s))[:, None]).T @ x + RIDGE * np.eye(len(w))
         w -= np.linalg.solve(curve, slope)
-    p, u = np.sort(p[1::2] @ w), np.sort(u[1::2] @ w)
-    above_p = 1 - np.searchsorted(p, p, "left") / len(p)
-    above_u = 1 - np.searchsorted(u, p, "left") / len(u)
-    unsure = np.sqrt(np.log(4 / UNSURE) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
-    at = np.argmin((above_u + 1.01 * unsure) / above_p)
-    return float(np.clip(above_u[at] / above_p[at], 0.01, 0.99))
+    return _best_bin(p[1::2] @ w, u[1::2] @ w)
 
 
 def held_out() -> Column:
