@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twinsift.functions.kernels import dirname
 
 TOLERANCE = 3
-MAX_BUCKET, MAX_SUB_BUCKET, PAIR_BUDGET = 200, 400, 2_000_000
+MAX_BUCKET, MAX_SUB_BUCKET = 200, 400
 
 
 def duration_window_pairs(files: DataFrame, bucket: str = "bucket", tolerance: int = TOLERANCE) -> DataFrame:

@@ -15,7 +15,7 @@ from twinsift.functions.images import balanced_column
 from twinsift.operators import keepers
 from twinsift.operators.graph import connected_components
 
-BATCH, MIN_BUCKET, MAX_BUCKETS, CONFIDENCE, RATIO, MOST = 30, 2, 200, 0.80, 0.50, 8
+BATCH, MIN_BUCKET, CONFIDENCE, RATIO, MOST = 30, 2, 0.80, 0.50, 8
 
 
 def bucket_key(path: Column | str, by: str = "parent_dir") -> Column:
@@ -32,9 +32,9 @@ def ungrouped(files: DataFrame, members: DataFrame, media_type: str = "video") -
     return live.join(members.select(F.col("file_id").alias("id")), "id", "left_anti")
 
 
-def batches(files: DataFrame, by: str = "parent_dir", batch: int = BATCH, least: int = MIN_BUCKET, most_buckets: int | None = MAX_BUCKETS) -> DataFrame:
+def batches(files: DataFrame, by: str = "parent_dir", batch: int = BATCH, least: int = MIN_BUCKET, most_buckets: int | None = None) -> DataFrame:
     """id, bucket, batch, pos (from 1), batch_size. Files stand by path, then id; the largest buckets go
-    first, and ``most_buckets`` bounds the calls (a setting of the run, ties by name)."""
+    first. All are asked about, unless ``most_buckets`` bounds the calls of a run (ties by name)."""
     rows = files.select("id", "path", bucket_key("path", by).alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("held")).filter(F.col("held") >= least)
     sizes = sizes if most_buckets is None else sizes.orderBy(F.col("held").desc(), "bucket").limit(most_buckets)

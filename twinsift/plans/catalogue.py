@@ -467,8 +467,8 @@ def coverage(spark, d):
 # ---------------------------------------------------------------- proposals
 
 
-_BATCHED = """
-asked AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS bucket FROM parts WHERE status IN ('done', 'pending', 'processing') AND id % 3 <> 0),
+_BATCHED = ",".join([_SINGLE, _DIRS, _BY_NAME]) + """,
+asked AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS bucket FROM parts WHERE status IN ('done', 'pending', 'processing') AND id NOT IN (SELECT id FROM by_name)),
 counted AS (SELECT *, count(*) OVER (PARTITION BY bucket) AS held, row_number() OVER (PARTITION BY bucket ORDER BY path, id) - 1 AS nth FROM asked),
 batched AS (SELECT id, bucket, nth // 30 AS batch, nth % 30 + 1 AS pos, least(30, held - nth // 30 * 30) AS batch_size FROM counted WHERE held >= 2)
 """
@@ -479,30 +479,33 @@ taken AS (SELECT o.bucket, o.batch, o.proposal, o.confidence, b.id FROM offers o
 """
 
 
+def _ungrouped(files):
+    """Files in no group of the name matcher."""
+    return proposals.ungrouped(files, matchers.filename_clusters(files).select(F.col("id").alias("file_id")))
+
+
 def _batched(spark, d):
     files = fx.files_part(spark, d)
-    grouped = files.filter("id % 3 = 0").select(F.col("id").alias("file_id"))
-    return checkpoint(proposals.batches(proposals.ungrouped(files, grouped), most_buckets=None)), files
+    return checkpoint(proposals.batches(_ungrouped(files))), files
 
 
-@query(sql("SELECT id FROM asked", "parts", more=_BATCHED))
+@query(sql("SELECT id FROM asked", "named", more=_BATCHED))
 def any_group_anti(spark, d):
-    files = fx.files_part(spark, d)
-    return proposals.ungrouped(files, files.filter("id % 3 = 0").select(F.col("id").alias("file_id"))).select("id")
+    return _ungrouped(fx.files_part(spark, d)).select("id")
 
 
-@query(sql("SELECT id, bucket, batch, pos, batch_size FROM batched", "parts", more=_BATCHED))
+@query(sql("SELECT id, bucket, batch, pos, batch_size FROM batched", "named", more=_BATCHED))
 def llm_batches(spark, d):
     return _batched(spark, d)[0].select("id", "bucket", "batch", "pos", "batch_size")
 
 
-@query(sql("SELECT bucket, batch, proposal, confidence, id FROM taken", "parts", more=_BATCHED + "," + _TAKEN))
+@query(sql("SELECT bucket, batch, proposal, confidence, id FROM taken", "named", more=_BATCHED + "," + _TAKEN))
 def llm_proposal_filter(spark, d):
     rows, _ = _batched(spark, d)
     return proposals.accepted(fx.proposals_part(rows), rows).select("bucket", "batch", "proposal", "confidence", "id")
 
 
-@query(sql("SELECT min(id) AS group_id, arg_max(id, (priority, coalesce(width * height, 0), size, -id)) AS keeper, 0.9::DOUBLE AS similarity FROM (SELECT DISTINCT bucket, batch, id FROM taken) JOIN parts USING (id) GROUP BY bucket, batch", "parts", more=_BATCHED + "," + _TAKEN))
+@query(sql("SELECT min(id) AS group_id, arg_max(id, (priority, coalesce(width * height, 0), size, -id)) AS keeper, 0.9::DOUBLE AS similarity FROM (SELECT DISTINCT bucket, batch, id FROM taken) JOIN parts USING (id) GROUP BY bucket, batch", "named", more=_BATCHED + "," + _TAKEN))
 def keeper_llm(spark, d):
     rows, files = _batched(spark, d)
     taken = checkpoint(proposals.accepted(fx.proposals_part(rows), rows))

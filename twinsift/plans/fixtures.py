@@ -22,7 +22,12 @@ def files_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.conv(F.substring(F.md5(chunk(i)), 1, 16), 16, -10).cast("bigint"))
     video = F.col("lang") == "en"
     whole = F.when(F.size("words") < 8, F.array(F.conv(F.substring(F.md5(F.array_join("words", " ")), 1, 16), 16, -10).cast("bigint"))).otherwise(hashes)
-    url = F.translate(F.regexp_replace(F.base64(F.encode(F.substring("text", 1, 64), "UTF-8")), r"[\r\n=]", ""), "+/", "-_")
+    # of all runs of three words the least hash in each of sixteen bins, so that a print covers the whole text
+    run = lambda i: F.md5(F.array_join(F.slice("words", i, F.lit(3)), " "))
+    d = d.withColumn("runs", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), run)))
+    least = lambda bin_: F.coalesce(F.substring(F.array_min(F.filter("runs", lambda r: r.startswith(bin_))), 2, 8), F.lit("00000000"))
+    prints = F.when(F.col("text").isNotNull(), F.concat(*[least(b) for b in "0123456789abcdef"]))
+    url = F.translate(F.regexp_replace(F.base64(F.unhex(prints)), r"[\r\n=]", ""), "+/", "-_")
     k = F.col("doc_id")
     status = F.when(k % 20 == 0, "failed").when(k % 20 == 1, "pending").when(k % 20 == 2, "processing").when(k % 20 == 3, "missing").when(k % 20 == 4, "deleted").otherwise("done")
     start = F.lit(START).cast("timestamp_ntz")
@@ -53,12 +58,14 @@ def files_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILES = r"""
 files_words AS (SELECT *, string_split_regex(lower(trim(text)), '\s+') AS words FROM documents),
-files_hex AS (SELECT *, CASE WHEN len(words) < 8 THEN [substr(md5(array_to_string(words, ' ')), 1, 16)]
+files_hex AS (SELECT *, list_transform(range(1, greatest(len(words) - 2, 1) + 1), lambda i: md5(array_to_string(list_slice(words, i, i + 2), ' '))) AS runs,
+    CASE WHEN len(words) < 8 THEN [substr(md5(array_to_string(words, ' ')), 1, 16)]
     ELSE list_transform(range(0, least(16, len(words) // 8)), lambda i: substr(md5(array_to_string(list_slice(words, i * (len(words) - 8) // greatest(least(16, len(words) // 8) - 1, 1) + 1, i * (len(words) - 8) // greatest(least(16, len(words) // 8) - 1, 1) + 8), ' ')), 1, 16)) END AS hex FROM files_words),
 files AS (SELECT doc_id AS id, '/media/' || source || '/' || lang || '/doc_' || doc_id || CASE WHEN lang = 'en' THEN '.mp4' ELSE '.mp3' END AS path,
     CASE WHEN lang = 'en' THEN 'video' ELSE 'audio' END AS media_type, n_chars AS size, sha256(text) AS sha256, n_chars / 100.0::DOUBLE AS duration,
     CASE WHEN lang = 'en' THEN list_transform(hex, lambda h: CASE WHEN ('0x' || h)::UBIGINT >= 9223372036854775808 THEN (('0x' || h)::UBIGINT::HUGEINT - 18446744073709551616)::BIGINT ELSE ('0x' || h)::UBIGINT::BIGINT END) END AS phashes,
-    translate(replace(base64(encode(substr(text, 1, 64))), '=', ''), '+/', '-_') AS chromaprint,
+    CASE WHEN text IS NOT NULL THEN translate(replace(base64(unhex(array_to_string(list_transform(string_split('0123456789abcdef', ''),
+        lambda b: coalesce(substr(list_min(list_filter(runs, lambda r: r[1] = b)), 2, 8), '00000000')), ''))), '=', ''), '+/', '-_') END AS chromaprint,
     CASE WHEN doc_id % 10 = 0 THEN 0.0 WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars / 100.0::DOUBLE END AS chromaprint_dur,
     CASE doc_id % 20 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'processing' WHEN 3 THEN 'missing' WHEN 4 THEN 'deleted' ELSE 'done' END AS status,
     CASE doc_id % 4 WHEN 0 THEN 3840 WHEN 1 THEN 1920 WHEN 2 THEN 1280 END AS width, CASE doc_id % 4 WHEN 0 THEN 2160 WHEN 1 THEN 1080 WHEN 2 THEN 720 END AS height,
