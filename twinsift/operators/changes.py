@@ -107,6 +107,11 @@ def latest(settings: DataFrame, order: str = "updated_at") -> DataFrame:
     return settings.groupBy("key").agg(F.max_by("value", order).alias("value"), F.max("updated_at").alias("updated_at"))
 
 
+def with_prefix(settings: DataFrame, prefix: str) -> DataFrame:
+    """Settings whose key begins with ``prefix``, taken literally."""
+    return settings.filter(F.col("key").startswith(prefix))
+
+
 def fold_status(events: DataFrame) -> DataFrame:
     """State of each file from its log (file_id, seq, status): last status, and how often it was claimed."""
     return events.groupBy("file_id").agg(F.max_by("status", "seq").alias("status"), F.count(F.when(F.col("status") == "processing", 1)).alias("attempts"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinsift.functions import kernels, names
-from twinsift.operators import actions, blocking, changes, graph, keepers, matchers, proposals, reports
+from twinsift.operators import actions, blocking, changes, graph, keepers, matchers, proposals, reports, source_table
 from twinsift.plans import fixtures as fx
 from twinsift.runtime import checkpoint, table
+from twinsift.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -562,6 +563,77 @@ def claim_files(spark, d):
     return changes.claim(files, files.select("id"), _now()).select("id", "status", "attempts")
 
 
+# ---------------------------------------------------------------- decisions and what follows them
+
+
+@query(sql(f"SELECT id, coalesce(outcome, status) AS status, CASE WHEN outcome IS NULL THEN error WHEN outcome <> 'done' THEN 'why ' || id END AS error, CASE WHEN outcome = 'done' THEN {_NOW} ELSE fingerprinted_at END AS fingerprinted_at FROM (SELECT *, CASE WHEN status = 'processing' THEN CASE id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' ELSE 'missing' END END AS outcome FROM files)", "files"))
+def finish_files(spark, d):
+    files = fx.files_doc(spark, d)
+    k = F.col("id")
+    outcome = F.when(k % 3 == 0, "done").when(k % 3 == 1, "failed").otherwise("missing")
+    ended = files.filter("status = 'processing'").select("id", outcome.alias("outcome"), F.concat(F.lit("why "), k.cast("string")).alias("error"), _now().alias("at"))
+    return changes.finish(files, ended).select("id", "status", "error", "fingerprinted_at")
+
+
+@query(sql("SELECT group_id, file_id, coalesce(file_id = keeper, is_keeper) AS is_keeper, CASE WHEN keeper IS NULL THEN action WHEN group_id % 3 = 0 AND file_id = group_id THEN 'ignore' WHEN file_id = keeper THEN 'keep' ELSE 'delete' END AS action FROM members LEFT JOIN (SELECT group_id, max(file_id) AS keeper FROM members WHERE group_id % 2 = 0 GROUP BY group_id) USING (group_id)", "groups"))
+def mark_by_hand(spark, d):
+    """Even groups get another keeper; the keepers of odd ones are no members, so nothing changes there."""
+    _, members, _ = fx.groups_doc(spark, d)
+    g = F.col("group_id")
+    last = members.groupBy("group_id").agg(F.max("file_id").alias("last"))
+    decisions = last.select("group_id", F.when(g % 2 == 0, F.col("last")).otherwise(-1).alias("keeper"), F.when(g % 3 == 0, F.create_map(g, F.lit("ignore"))).alias("actions"))
+    return actions.mark_by_hand(members, decisions)
+
+
+@query(sql("SELECT id, reviewed OR id % 4 = 0 AS reviewed FROM groups_", "groups"))
+def mark_reviewed(spark, d):
+    groups, _, _ = fx.groups_doc(spark, d)
+    return actions.reviewed(groups, groups.filter("id % 4 = 0").select("id")).select("id", "reviewed")
+
+
+_OUTCOME = "moves AS (SELECT *, CASE WHEN status = 'missing' THEN 'missing' WHEN id % 2 = 0 THEN 'moved' ELSE 'move_failed' END AS outcome FROM files WHERE status NOT IN ('pending', 'deleted'))"
+
+
+def _log(files):
+    outcome = F.when(F.col("status") == "missing", "missing").when(F.col("id") % 2 == 0, "moved").otherwise("move_failed")
+    moves = files.filter(~F.col("status").isin("pending", "deleted"))
+    return sinks.action_log(moves.select(F.col("id").alias("file_id"), "path", outcome.alias("outcome"), "size", F.lit("busy").alias("error")), _now())
+
+
+@query(sql("SELECT id AS file_id, path, CASE outcome WHEN 'missing' THEN 'missing' ELSE 'delete' END AS action, outcome = 'moved' AS succeeded, CASE outcome WHEN 'move_failed' THEN 'move_failed: busy' END AS error, CASE outcome WHEN 'moved' THEN size ELSE 0 END AS bytes_freed FROM moves", "files", more=_OUTCOME))
+def action_log(spark, d):
+    return _log(fx.files_doc(spark, d)).drop("performed_at")
+
+
+@query(sql("SELECT f.id, CASE m.outcome WHEN 'missing' THEN 'missing' WHEN 'moved' THEN 'deleted' ELSE f.status END AS status FROM files f LEFT JOIN moves m USING (id)", "files", more=_OUTCOME))
+def settle_files(spark, d):
+    files = fx.files_doc(spark, d)
+    return actions.settle(files, _log(files)).select("id", "status")
+
+
+@query(ORACLE_SQL["effective_action_plan"] + " AND NOT reviewed AND match_type = 'llm' AND similarity >= 0.8")
+def auto_delete_llm(spark, d):
+    """Proposals from a similarity of 0.8 on, by the keepers that they have."""
+    return actions.auto_delete(*fx.groups_doc(spark, d), fx.sources(spark, d), "20240101", ["llm"], threshold=0.8, mark=False)[0]
+
+
+@query(f"SELECT * FROM ({ORACLE_SQL['settings_latest']}) WHERE starts_with(key, 'p')")
+def settings_by_prefix(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("key"), "value", F.struct("ts", "event_id").alias("at"), F.col("ts").alias("updated_at"))
+    return changes.with_prefix(changes.latest(e, "at"), "p")
+
+
+@query(sql("SELECT id, path FROM sources WHERE enabled AND path IN (SELECT rtrim(path, '/') FROM sources WHERE id % 2 = 0)", "sources"))
+def usable_sources(spark, d):
+    known = fx.sources(spark, d)
+    return source_table.usable(known, known.filter("id % 2 = 0").select("path")).select("id", "path")
+
+
+@query(sql("SELECT id, CASE WHEN source_id <> 3 THEN source_id END AS source_id FROM files", "files"))
+def source_deleted(spark, d):
+    return source_table.delete(fx.sources(spark, d), fx.files_doc(spark, d), 3)[1].select("id", "source_id")
+
+
 # ---------------------------------------------------------------- text
 
 
