@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsift.functions import names
 from twinsift.operators import matchers
 from twinsift.runtime import table
 
@@ -23,9 +24,12 @@ def files_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     video = F.col("lang") == "en"
     whole = F.when(F.size("words") < 8, F.array(F.conv(F.substring(F.md5(F.array_join("words", " ")), 1, 16), 16, -10).cast("bigint"))).otherwise(hashes)
     # of all runs of three words the least hash in each of sixteen bins, so that a print covers the whole text
-    run = lambda i: F.md5(F.array_join(F.slice("words", i, F.lit(3)), " "))
-    d = d.withColumn("runs", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), run)))
-    least = lambda bin_: F.coalesce(F.substring(F.array_min(F.filter("runs", lambda r: r.startswith(bin_))), 2, 8), F.lit("00000000"))
+    # (by position: a slice would copy the whole array for each run)
+    run = lambda i: F.md5(F.concat_ws(" ", *[F.get("words", i + k) for k in (-1, 0, 1)]))
+    d = d.withColumn("runs", F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), run)))
+    # sorted, so the least of a bin stands where the leading digit changes
+    d = d.withColumn("runs", F.filter("runs", lambda r, i: (i == 0) | (F.substring(r, 1, 1) != F.substring(F.get("runs", i - 1), 1, 1))))
+    least = lambda bin_: F.coalesce(F.substring(F.get(F.filter("runs", lambda r: r.startswith(bin_)), F.lit(0)), 2, 8), F.lit("00000000"))
     prints = F.when(F.col("text").isNotNull(), F.concat(*[least(b) for b in "0123456789abcdef"]))
     url = F.translate(F.regexp_replace(F.base64(F.unhex(prints)), r"[\r\n=]", ""), "+/", "-_")
     k = F.col("doc_id")
@@ -119,9 +123,9 @@ parts AS (SELECT p_partkey AS id, '/media/src' || (p_partkey % 4) || '/' || lowe
     NULL::INT AS bitrate, (p_partkey % 4) * 7 % 5 - 1 AS priority FROM part)
 """
 
-_RES = "4320p|8k|2160p|4k|uhd|1440p|2k|qhd|1080p|fhd|720p|hd|576p|540p|480p|sd|360p|240p"
-_NOISE = "'mp4','mkv','avi','mov','webm','wmv','flv','m4v','ts','h264','h265','x264','x265','hevc','avc','aac','mp3','web','webdl','web-dl','webrip','bluray','brrip','bdrip','hdtv','dvdrip','remux','xxx','rip','siterip','complete','uncensored','censored','remastered','extended','directors','cut'"
-_STOP = "'and','the','with','of','in','on','a','an','to','for','from','by','feat','ft','vs','or','her','his','him','she','he','it','they','this','that','those','these'"
+_RES = "|".join(names.RESOLUTIONS)
+_NOISE = ",".join(f"'{w}'" for w in names.NOISE)
+_STOP = ",".join(f"'{w}'" for w in names.STOPWORDS)
 
 NAMES = rf"""
 name_base AS (SELECT *, lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(?s)^(\.*[^.].*)\.[^.]*$', '\1')) AS base FROM parts),

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Rows of an Arrow batch at most: whole texts are long, and a worker holds a batch several times over.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most: whole texts are long, and a worker holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -24,6 +27,9 @@ def ready(spark: SparkSession) -> SparkSession:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(size):
+        spark.conf.set(size, str(BATCH_BYTES))
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark
 
@@ -48,33 +54,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 #: Rows of a table that go to one checkpoint file, about, where their number is known.
 FILE_ROWS = 1_000_000
-#: What the innermost ``holding`` block has checkpointed and persisted so far.
-_held: list[list[DataFrame]] = []
+#: What the innermost ``holding`` block of this thread has checkpointed and persisted so far.
+_held: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("held", default=())
+#: Folders of the tables that ``checkpoint`` wrote.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder, which all executors share, and go on from there.
+    """Write ``df`` as Parquet to the checkpoint folder, which all executors share, and go on from there.
 
-    With ``rows`` (about as many as there are) it goes to no more files than it needs.
+    Plans that read it know its real size, and no executor's loss touches it. With ``rows`` (about as many
+    as there are) it goes to no more files than it needs.
     """
-    checkpoint_dir(df.sparkSession)
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    return _hold(_without_estimates(df.checkpoint(eager=True)))
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return _hold(out)
 
 
-def _without_estimates(df: DataFrame) -> DataFrame:
-    """A checkpointed table without the size that its old plan was estimated at.
-
-    Estimates of joins are products. A loop that checkpoints a join each round would double their digits each
-    time, until the planner does little but multiply them; adaptive execution has the real sizes.
-    """
-    sc, session = df.sparkSession.sparkContext, df.sparkSession._jsparkSession
-    plan = df._jdf.queryExecution().analyzed()
-    none = sc._jvm.scala.Option.empty()
-    bare = sc._jvm.org.apache.spark.sql.execution.LogicalRDD(
-        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, session, none, none
-    )
-    return DataFrame(sc._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), df.sparkSession)
+def spread(pairs: DataFrame, *keys: str) -> DataFrame:
+    """``pairs`` dealt to all cores before work that follows their number and not their bytes: adaptive
+    execution would else gather small rows to a few tasks."""
+    sc = pairs.sparkSession.sparkContext
+    return pairs.repartition(max(sc.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -84,8 +88,8 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def _hold(df: DataFrame) -> DataFrame:
-    if _held:
-        _held[-1].append(df)
+    if _held.get():
+        _held.get()[-1].append(df)
     return df
 
 
@@ -95,19 +99,23 @@ def discard(*tables: DataFrame) -> None:
     Only for tables that no plan will read again, one that recovers from a lost executor included.
     """
     for df in tables:
-        df.unpersist()
-        plan = df._jdf.queryExecution().analyzed()
-        if plan.getClass().getSimpleName() == "LogicalRDD":
-            path = plan.rdd().getCheckpointFile()
-            if path.isDefined():
-                sc = df.sparkSession.sparkContext
-                where = sc._jvm.org.apache.hadoop.fs.Path(path.get())
-                where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        path = _written.pop(df, None)
+        if path is None:
+            df.unpersist()
+        else:
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the checkpoint folder's file system."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nobody holds any more. It acts on what the
-    driver's garbage collector finds, which otherwise may not run before a loop is over."""
+    driver's garbage collector finds, which otherwise may not run before a loop of large shuffles is over."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -116,8 +124,10 @@ def free_shuffles(spark: SparkSession) -> None:
 def holding() -> Iterator[None]:
     """Discards at its end all tables that were held or checkpointed within, so results have to be written
     or counted by then."""
-    _held.append([])
+    mine: list[DataFrame] = []
+    token = _held.set((*_held.get(), mine))
     try:
         yield
     finally:
-        discard(*_held.pop())
+        _held.reset(token)
+        discard(*mine)
