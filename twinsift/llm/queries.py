@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import bpe, chat, exact_dedup, fingerprints, language_id, mixing, near_dups, pii, quality, url_filters
+from twinsift.llm import bpe, chat, decontamination, exact_dedup, fingerprints, language_id, mixing, near_dups, pii, quality, url_filters
 from twinsift.runtime import table
 
 try:
@@ -60,10 +60,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_language_id, op3_pii, op4_mixing, op5_fingerprints, op6_quality, op7_near_dups, op8_chat_formatting, op9_bpe, op10_exact_dedup)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.contaminated_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_language_id, op3_pii, op4_mixing, op5_fingerprints, op6_quality, op7_near_dups, op8_chat_formatting, op9_bpe, op10_exact_dedup, op11_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": url_filters.op1_sql(),
     "op8_chat_formatting": chat.op8_sql(),
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_decontamination": decontamination.op11_sql(),
 }
