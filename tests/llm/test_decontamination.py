@@ -45,7 +45,7 @@ def case(seed=0):
     for i, (_, text) in enumerate(items * 2):
         if text:
             docs.append((100 + i, few(7) + "\n" + text.upper().replace(" ", ", ") + "." + few(9)))
-    docs += [(200, ("ab " * 1500) + few(30)), (201, "one-TWO, one"), (202, None), (202, None)]
+    docs += [(200, ("ab " * 1500) + few(30)), (201, "one-TWO, one"), (202, None), (202, None), ((1 << 62) + 1, "ab"), (None, "x")]
     return docs, items
 
 

@@ -209,7 +209,7 @@ def _scan_chunk(numbered: list[np.ndarray], patterns: Patterns, overlap: int) ->
 
 # ---------------------------------------------------------------- over tables
 
-_HITS = "row binary, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_HITS = "row binary, doc_id string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -253,8 +253,9 @@ def _scanned(docs: DataFrame, patterns: Patterns, names: list[str | None]) -> Da
                 }
             )
 
-    rows = docs.select(row_key().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, _HITS)
+    # ids as text: pandas would turn whole numbers beside nulls to floats
+    rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInPandas(run, _HITS).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _merged(spans: Column) -> Column:

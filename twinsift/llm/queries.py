@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import bpe, chat, decontamination, exact_dedup, fingerprints, language_id, mixing, near_dups, pii, quality, url_filters
+from twinsift.llm import bpe, chat, decontamination, exact_dedup, fingerprints, language_id, mixing, near_dups, pii, quality, url_filters, whitening
 from twinsift.runtime import table
 
 try:
@@ -64,7 +64,11 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contaminated_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_language_id, op3_pii, op4_mixing, op5_fingerprints, op6_quality, op7_near_dups, op8_chat_formatting, op9_bpe, op10_exact_dedup, op11_decontamination)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(whitening.quantised(table(spark, sf_dir, "embeddings"))))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_language_id, op3_pii, op4_mixing, op5_fingerprints, op6_quality, op7_near_dups, op8_chat_formatting, op9_bpe, op10_exact_dedup, op11_decontamination, op13_whitening)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": url_filters.op1_sql(),
