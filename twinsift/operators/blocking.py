@@ -6,24 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.kernels import dirname
+from twinsift.operators import blocks
+from twinsift.runtime import checkpoint, spread
 
 TOLERANCE = 3
 MAX_BUCKET, MAX_SUB_BUCKET = 200, 400
 
 
-def duration_window_pairs(files: DataFrame, bucket: str = "bucket", tolerance: int = TOLERANCE) -> DataFrame:
-    """(a, b), a < b, of files whose buckets lie within ``tolerance`` of one bucket that some file has.
+def bucket_pairs(buckets: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """(p, q), p <= q, of the distinct ``buckets`` (bucket) whose files pair: both lie within ``tolerance`` of
+    one bucket that some file has. So buckets up to 2 * tolerance apart pair when a file lies between them."""
+    own = buckets.select(F.col("bucket").alias("p")).distinct()
+    reach = own.withColumn("q", F.explode(F.sequence(F.col("p"), F.col("p") + 2 * tolerance))).join(own.select(F.col("p").alias("q")), "q", "left_semi")
+    near = reach.filter(F.col("q") - F.col("p") <= tolerance)  # either is the centre
+    far = reach.filter(F.col("q") - F.col("p") > tolerance).withColumn("centre", F.explode(F.sequence(F.col("q") - tolerance, F.col("p") + tolerance)))
+    far = far.join(own.select(F.col("p").alias("centre")), "centre", "left_semi")
+    return near.select("p", "q").unionByName(far.select("p", "q").distinct())
 
-    So buckets up to 2 * tolerance apart pair when a file lies between them. Each file goes to the
-    centres around it that exist, and files that meet at a centre pair: equi-joins only, whose hot
-    centres AQE splits.
-    """
-    own = files.select("id", F.col(bucket).alias("own"))
-    centres = own.select(F.col("own").alias("centre")).distinct()
-    at = own.withColumn("centre", F.explode(F.sequence(F.col("own") - tolerance, F.col("own") + tolerance))).join(centres, "centre", "left_semi")
-    left = at.select(F.col("id").alias("a"), "centre")
-    right = at.select(F.col("id").alias("b"), "centre")
-    return left.join(right, "centre").filter("a < b").select("a", "b").distinct()
+
+def window_blocks(files: DataFrame, value: str, tolerance: int = TOLERANCE, size: int = blocks.BLOCK) -> DataFrame:
+    """Pairs of blocks of files whose buckets pair: id_l, id_r, value_l, value_r, same. Two files meet in one of
+    them exactly, as each pair of buckets comes once."""
+    packed = blocks.blocked(files.select("id", "bucket", F.col(value).alias("value")), ["bucket"], ["id", "value"], size)
+    left, right = blocks.sides(packed, ["bucket", "block", "id", "value"])
+    allowed = checkpoint(bucket_pairs(packed, tolerance).select(F.col("p").alias("bucket_l"), F.col("q").alias("bucket_r")))
+    pairs = allowed.join(left, "bucket_l").join(right, "bucket_r").filter("bucket_l < bucket_r or block_l <= block_r")
+    pairs = pairs.withColumn("same", (F.col("bucket_l") == F.col("bucket_r")) & (F.col("block_l") == F.col("block_r")))
+    return spread(pairs, "bucket_l", "bucket_r", "block_l", "block_r")
+
+
+def duration_window_pairs(files: DataFrame, tolerance: int = TOLERANCE, size: int = blocks.BLOCK) -> DataFrame:
+    """(a, b), a < b, of files whose buckets pair (see ``bucket_pairs``), each pair once.
+
+    Ids meet in blocks, and each pair of blocks is opened where it stands."""
+    pairs = window_blocks(files, "id", tolerance, size).select("id_l", "id_r", "same")
+    opened = pairs.withColumn("x", F.explode("id_l")).select("same", "x", F.explode("id_r").alias("y"))
+    return opened.filter((~F.col("same") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def pair_cost(buckets: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions import kernels, names
-from twinsift.operators import blocking, keepers
+from twinsift.operators import blocking, blocks, keepers
+from twinsift.operators.blocks import Kernel
 from twinsift.operators.graph import connected_components
 from twinsift.runtime import checkpoint
 
@@ -72,41 +73,47 @@ def acoustic_candidates(files: DataFrame, without: DataFrame | None) -> DataFram
     return out if without is None else out.join(without, "id", "left_anti")
 
 
-def scored_pairs(pairs: DataFrame, files: DataFrame, value: str, score: Column) -> DataFrame:
-    """(a, b, score) where ``score`` is an expression over ``va`` and ``vb``, the pair's values of a column."""
-    left = files.select(F.col("id").alias("a"), F.col(value).alias("va"))
-    right = files.select(F.col("id").alias("b"), F.col(value).alias("vb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", score.alias("score"))
-
-
-def perceptual_pairs(files: DataFrame, without: DataFrame | None, tolerance: int = blocking.TOLERANCE) -> DataFrame:
+def perceptual_pairs(files: DataFrame, without: DataFrame | None, tolerance: int = blocking.TOLERANCE, most: float | None = None) -> DataFrame:
+    """(a, b, score) of the pairs to compare, those with a distance of at most ``most`` where it is given."""
     cands = perceptual_candidates(files, without)
-    return scored_pairs(blocking.duration_window_pairs(cands, tolerance=tolerance), cands, "phashes", kernels.best_match_distance("va", "vb"))
+    return blocks.scored(blocking.window_blocks(cands, "phashes", tolerance), blocks.best_match(most))
 
 
-def acoustic_pairs(files: DataFrame, without: DataFrame | None, tolerance: int = blocking.TOLERANCE) -> DataFrame:
+def acoustic_pairs(files: DataFrame, without: DataFrame | None, tolerance: int = blocking.TOLERANCE, least: float | None = None) -> DataFrame:
+    """(a, b, score) of the pairs to compare, those with a similarity of at least ``least`` where it is given."""
     cands = acoustic_candidates(files, without).withColumn("fp", kernels.decode_fingerprint("chromaprint"))
-    return scored_pairs(blocking.duration_window_pairs(cands, tolerance=tolerance), cands, "fp", kernels.byte_similarity("va", "vb"))
+    return blocks.scored(blocking.window_blocks(cands, "fp", tolerance), blocks.equal_bits(least))
+
 
+def clusters_by_class(cands: DataFrame, value: str, score: Kernel, tolerance: int, same: float, best: str) -> DataFrame:
+    """component, id and the member's best score (``min`` or ``max`` over its links).
 
-def clusters_of(edges: DataFrame, best: str) -> DataFrame:
-    """component, id and the member's best score (``min`` or ``max`` over its edges)."""
-    edges = checkpoint(edges)
-    both = edges.select(F.col("a").alias("id"), "score").unionByName(edges.select(F.col("b").alias("id"), "score"))
-    scores = both.groupBy("id").agg((F.min if best == "min" else F.max)("score").alias("best"))
-    return scores.join(connected_components(edges, "a", "b").withColumnRenamed("node", "id"), "id")
+    Candidates of one bucket with the same value are a class; classes are compared, each by its smallest id, and
+    copies are members. ``same`` is the score of two copies. A component's name is its smallest id.
+    """
+    cands = checkpoint(cands.select("id", "bucket", F.col(value).alias("value")))
+    classes = checkpoint(cands.groupBy("bucket", "value").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    edges = checkpoint(blocks.scored(blocking.window_blocks(classes.withColumnRenamed("rep", "id"), "value", tolerance), score))
+    both = edges.select(F.col("a").alias("rep"), "score").unionByName(edges.select(F.col("b").alias("rep"), "score"))
+    scores = both.groupBy("rep").agg((F.min if best == "min" else F.max)("score").alias("best"))
+    linked = scores.join(connected_components(edges, "a", "b").withColumnRenamed("node", "rep"), "rep")
+    held = classes.join(linked, "rep", "left").filter("n > 1 or component is not null")
+    first = F.least if best == "min" else F.greatest
+    held = held.select("rep", "bucket", "value", F.coalesce("component", "rep").alias("component"), F.when(F.col("n") > 1, first(F.coalesce("best", F.lit(same)), F.lit(same))).otherwise(F.col("best")).alias("best"))
+    return cands.join(held, ["bucket", "value"]).select("id", "component", "best")
 
 
 def perceptual_clusters(files: DataFrame, without: DataFrame | None = None, threshold: float = DISTANCE, tolerance: int = blocking.TOLERANCE) -> DataFrame:
-    edges = perceptual_pairs(files, without, tolerance).filter(F.col("score") <= threshold)
-    rows = clusters_of(edges, "min").join(files, "id").withColumnRenamed("component", "group_id")
+    cands = perceptual_candidates(files, without)
+    found = clusters_by_class(cands, "phashes", blocks.best_match(threshold), tolerance, 0.0, "min") if threshold >= 0 else cands.limit(0).select("id", F.col("id").alias("component"), F.lit(0.0).alias("best"))
+    rows = found.join(files, "id").withColumnRenamed("component", "group_id")
     out = _with_keeper(rows, "perceptual", F.greatest(F.lit(0.0), 1 - F.avg("best") / 64).alias("similarity"))
     return out.select(F.lit("video").alias("media_type"), "group_id", "id", "similarity", "keeper")
 
 
 def acoustic_clusters(files: DataFrame, without: DataFrame | None = None, threshold: float = SIMILARITY, tolerance: int = blocking.TOLERANCE) -> DataFrame:
-    edges = acoustic_pairs(files, without, tolerance).filter(F.col("score") >= threshold)
-    rows = clusters_of(edges, "max").join(files, "id").withColumnRenamed("component", "group_id")
+    cands = acoustic_candidates(files, without).withColumn("fp", kernels.decode_fingerprint("chromaprint")).filter("length(fp) > 0" if threshold > 0 else "true")
+    rows = clusters_by_class(cands, "fp", blocks.equal_bits(threshold), tolerance, 1.0, "max").join(files, "id").withColumnRenamed("component", "group_id")
     out = _with_keeper(rows, "chromaprint", F.avg("best").alias("similarity"))
     return out.select(F.lit("audio").alias("media_type"), "group_id", "id", "similarity", "keeper")
 
@@ -140,11 +147,19 @@ def name_pairs(singles: DataFrame, threshold: float = TOKENS, **caps: int) -> Da
     return pairs.select("a", "b", kernels.jaccard("ta", "tb").alias("score")).filter(F.col("score") >= threshold)
 
 
-def mean_jaccard(rows: DataFrame, group: str) -> DataFrame:
-    """Mean Jaccard similarity of all pairs of tokens within each group. rows: group, id, tokens."""
-    a = rows.select(group, F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    b = rows.select(group, F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    return a.join(b, group).filter("a < b").groupBy(group).agg(F.avg(kernels.jaccard("ta", "tb")).alias("similarity"))
+def mean_jaccard(rows: DataFrame, group: str, size: int = blocks.BLOCK) -> DataFrame:
+    """Mean Jaccard similarity of all pairs of tokens within each group. rows: group, id, tokens.
+
+    Rows of a group with the same tokens are one set that counts as often; sets meet in blocks, and only
+    those with a common token. No pair is a row."""
+    sets = checkpoint(rows.groupBy(group, F.array_sort("tokens").alias("value")).agg(F.min("id").alias("id"), F.count("*").alias("m")))
+    m = F.col("m").cast("double")
+    each = sets.groupBy(group).agg(F.sum("m").alias("n"), F.sum(F.when(F.size("value") > 0, m * (m - 1) / 2).otherwise(0.0)).alias("alike"))
+    packed = blocks.blocked(sets.filter("size(value) > 0"), [group], ["id", "value", "m"], size)
+    met = blocks.jaccard_sums(blocks.within(packed, [group], ["id", "value", "m"]), group).groupBy(group).agg(F.sum("s").alias("s"))
+    n = F.col("n").cast("double")
+    out = each.filter("n > 1").join(met, group, "left")
+    return out.select(group, ((F.col("alike") + F.coalesce("s", F.lit(0.0))) / (n * (n - 1) / 2)).alias("similarity"))
 
 
 def filename_clusters(files: DataFrame, least: int = 2, threshold: float = TOKENS, **caps: int) -> DataFrame:

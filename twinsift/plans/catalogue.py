@@ -77,24 +77,32 @@ _APAIRS = f"scored AS (SELECT a, b, {_BYTES} AS score FROM pairs JOIN cands x ON
 _OUTSIDE = "AND id NOT IN (SELECT id FROM exact_ids)"
 
 
-def _without(spark, d):
-    files = checkpoint(fx.files_doc(spark, d))
+#: What a fingerprinter made of each file; queries that read neither don't compute it.
+_PRINTS = ("phashes", "chromaprint")
+
+
+def _files(spark, d, *prints):
+    return checkpoint(fx.files_doc(spark, d).drop(*[p for p in _PRINTS if p not in prints]))
+
+
+def _without(spark, d, *prints):
+    files = _files(spark, d, *prints)
     return files, checkpoint(matchers.exact_member_ids(files))
 
 
 @query(sql("SELECT a, b FROM pairs", "files", more=",".join([_EXACT, _VIDEO.format(without=_OUTSIDE), _WINDOW])))
 def duration_window_candidates(spark, d):
-    return blocking.duration_window_pairs(matchers.perceptual_candidates(*_without(spark, d)))
+    return blocking.duration_window_pairs(matchers.perceptual_candidates(*_without(spark, d, "phashes")))
 
 
 @query(sql("SELECT a, b, round(score, 6) AS score FROM scored", "files", more=",".join([_EXACT, _VIDEO.format(without=_OUTSIDE), _WINDOW, _VPAIRS])))
 def best_match_pairs(spark, d):
-    return matchers.perceptual_pairs(*_without(spark, d)).select("a", "b", F.round("score", 6).alias("score"))
+    return matchers.perceptual_pairs(*_without(spark, d, "phashes")).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(sql("SELECT a, b, round(score, 6) AS score FROM scored", "files", more=",".join([_EXACT, _AUDIO, _WINDOW, _APAIRS])))
 def byte_similarity_pairs(spark, d):
-    return matchers.acoustic_pairs(*_without(spark, d)).select("a", "b", F.round("score", 6).alias("score"))
+    return matchers.acoustic_pairs(*_without(spark, d, "chromaprint")).select("a", "b", F.round("score", 6).alias("score"))
 
 
 _REACH = """
@@ -106,8 +114,7 @@ parts_of AS (SELECT id, min(spot) AS component FROM reach GROUP BY id)
 
 @query(sql("SELECT id, component FROM parts_of", "files", more=",".join([_EXACT, _VIDEO.format(without=""), _WINDOW, _VPAIRS, "edges AS (SELECT a, b FROM scored WHERE score <= 18)", _REACH])))
 def components_of_pairs(spark, d):
-    files = checkpoint(fx.files_doc(spark, d))
-    edges = matchers.perceptual_pairs(files, None).filter("score <= 18")
+    edges = matchers.perceptual_pairs(_files(spark, d, "phashes"), None, most=18)
     return graph.connected_components(edges, "a", "b").select(F.col("node").alias("id"), "component")
 
 
@@ -116,7 +123,7 @@ _BEST_OF = "best AS (SELECT id, {f}(score) AS best FROM (SELECT a AS id, score F
 
 @query(sql("SELECT 'video' AS media_type, component AS group_id, count(*) AS n, round(greatest(0.0, 1 - avg(best) / 64), 6) AS similarity, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM parts_of JOIN best USING (id) GROUP BY component", "files", more=",".join([_EXACT, _VIDEO.format(without=_OUTSIDE), _WINDOW, _VPAIRS, "edges AS (SELECT * FROM scored WHERE score <= 12)", _REACH, _BEST_OF.format(f="min")])))
 def perceptual_clusters(spark, d):
-    return _clusters(matchers.perceptual_clusters(*_without(spark, d)))
+    return _clusters(matchers.perceptual_clusters(*_without(spark, d, "phashes")))
 
 
 def _clusters(c):
@@ -125,32 +132,32 @@ def _clusters(c):
 
 @query(sql("SELECT component AS group_id, arg_max(f.id, (f.size, length(path), -f.id)) AS keeper FROM parts_of p JOIN files f ON f.id = p.id GROUP BY component", "files", more=",".join([_EXACT, _VIDEO.format(without=_OUTSIDE), _WINDOW, _VPAIRS, "edges AS (SELECT * FROM scored WHERE score <= 12)", _REACH])))
 def keeper_perceptual(spark, d):
-    return matchers.perceptual_clusters(*_without(spark, d)).select("group_id", "keeper").distinct()
+    return matchers.perceptual_clusters(*_without(spark, d, "phashes")).select("group_id", "keeper").distinct()
 
 
 @query(sql("SELECT 'audio' AS media_type, component AS group_id, count(*) AS n, round(avg(best), 6) AS similarity, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM parts_of JOIN best USING (id) GROUP BY component", "files", more=",".join([_EXACT, _AUDIO, _WINDOW, _APAIRS, "edges AS (SELECT * FROM scored WHERE score >= 0.85)", _REACH, _BEST_OF.format(f="max")])))
 def acoustic_clusters(spark, d):
-    return _clusters(matchers.acoustic_clusters(*_without(spark, d)))
+    return _clusters(matchers.acoustic_clusters(*_without(spark, d, "chromaprint")))
 
 
 @query(sql("SELECT component AS group_id, arg_max(f.id, (coalesce(bitrate, 0), f.size, -f.id)) AS keeper FROM parts_of p JOIN files f ON f.id = p.id GROUP BY component", "files", more=",".join([_EXACT, _AUDIO, _WINDOW, _APAIRS, "edges AS (SELECT * FROM scored WHERE score >= 0.85)", _REACH])))
 def keeper_acoustic(spark, d):
-    return matchers.acoustic_clusters(*_without(spark, d)).select("group_id", "keeper").distinct()
+    return matchers.acoustic_clusters(*_without(spark, d, "chromaprint")).select("group_id", "keeper").distinct()
 
 
 @query(sql("SELECT round_even(score, 0)::INT AS distance, count(*) AS n, sum(count(*)) OVER (ORDER BY round_even(score, 0)::INT)::BIGINT AS cumulative FROM scored GROUP BY 1", "files", more=",".join([_VIDEO.format(without=""), _WINDOW, _VPAIRS])))
 def phash_histogram(spark, d):
-    return reports.distance_histogram(matchers.perceptual_pairs(checkpoint(fx.files_doc(spark, d)), None))
+    return reports.distance_histogram(matchers.perceptual_pairs(_files(spark, d, "phashes"), None))
 
 
 @query(sql("SELECT a, b, round(score, 6) AS score FROM scored ORDER BY score, a, b LIMIT 10", "files", more=",".join([_VIDEO.format(without=""), _WINDOW, _VPAIRS])))
 def closest_pairs(spark, d):
-    return reports.closest_pairs(matchers.perceptual_pairs(checkpoint(fx.files_doc(spark, d)), None)).select("a", "b", F.round("score", 6).alias("score"))
+    return reports.closest_pairs(matchers.perceptual_pairs(_files(spark, d, "phashes"), None)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(sql("SELECT id FROM files WHERE media_type = 'video' AND status = 'done' AND len(phashes) > 0 AND id NOT IN (SELECT id FROM exact_ids)", "files", more=_EXACT))
 def anti_exact(spark, d):
-    return matchers.perceptual_candidates(*_without(spark, d)).select("id")
+    return matchers.perceptual_candidates(*_without(spark, d, "phashes")).select("id")
 
 
 # ---------------------------------------------------------------- names
@@ -518,19 +525,19 @@ def keeper_llm(spark, d):
 
 @query(sql("SELECT path, change, CASE WHEN change IN ('new', 'changed') THEN l.size ELSE f.size END AS size, CASE WHEN change IN ('new', 'changed') THEN 'pending' ELSE status END AS status, CASE WHEN change = 'new' THEN 77 WHEN change = 'same' THEN coalesce(source_id, 77) ELSE source_id END AS source_id, CASE WHEN change IN ('new', 'changed') THEN NULL ELSE sha256 END AS sha256 FROM (SELECT coalesce(f.path, l.path) AS path, CASE WHEN f.path IS NULL THEN 'new' WHEN l.path IS NULL THEN 'unseen' WHEN f.size <> l.size OR f.mtime <> l.mtime THEN 'changed' ELSE 'same' END AS change FROM files f FULL JOIN listing l ON l.path = f.path) LEFT JOIN files f USING (path) LEFT JOIN listing l USING (path)", "listing"))
 def scan_upsert(spark, d):
-    files = checkpoint(fx.files_doc(spark, d))
+    files = _files(spark, d)
     return changes.upsert(files, fx.listing_doc(files), F.lit(77)).select("path", "change", "size", "status", "source_id", "sha256")
 
 
 @query(sql("SELECT live, missing, round(missing / live::DOUBLE, 6) AS share, missing / live::DOUBLE <= 0.1 AS allowed FROM (SELECT count(*) AS live, count(*) FILTER (path NOT IN (SELECT path FROM listing)) AS missing FROM files WHERE status NOT IN ('missing', 'deleted'))", "listing"))
 def missing_guard(spark, d):
-    files = checkpoint(fx.files_doc(spark, d))
+    files = _files(spark, d)
     return changes.missing_guard(files, fx.listing_doc(files)).withColumn("share", F.round("share", 6))
 
 
 @query(sql("SELECT id, CASE WHEN path NOT IN (SELECT path FROM listing) AND status NOT IN ('missing', 'deleted') THEN 'missing' ELSE status END AS status FROM files", "listing"))
 def mark_missing(spark, d):
-    files = checkpoint(fx.files_doc(spark, d))
+    files = _files(spark, d)
     return changes.mark_missing(files, fx.listing_doc(files)).select("id", "status")
 
 
