@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.runtime import checkpoint, discard, free_shuffles
+from twinsift.runtime import checkpoint, discard, ready
 
 
 def _star(edges: DataFrame, large: bool, n: int) -> tuple[DataFrame, DataFrame]:
@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     unchanged, and raises if ``max_rounds`` don't suffice; the driver sees two numbers a round, never a
     link. Each round is checkpointed, and the files of the one before go.
     """
+    ready(edges.sparkSession)
     at = checkpoint(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .filter("u is not null and v is not null and u <> v")
@@ -49,7 +50,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         discard(at, low, half, low_too)
         at = new
         now = at.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        free_shuffles(edges.sparkSession)
         if now == was:
             break
         was, n = now, now["n"]

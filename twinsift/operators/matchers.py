@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions import kernels, names
-from twinsift.operators import blocking, blocks, keepers
+from twinsift.operators import blocking, blocks, keepers, set_join
 from twinsift.operators.blocks import Kernel
 from twinsift.operators.graph import connected_components
 from twinsift.runtime import checkpoint
@@ -142,11 +142,19 @@ def name_singletons(cands: DataFrame) -> DataFrame:
 
 
 def name_pairs(singles: DataFrame, threshold: float = TOKENS, **caps: int) -> DataFrame:
-    """(a, b, score) of single names in one bucket whose tokens' Jaccard similarity reaches the threshold."""
+    """(a, b, score) of single names in one bucket whose tokens' Jaccard similarity reaches the threshold,
+    within the matched semantics' bounds on buckets; ``name_links`` has none."""
     pairs = blocking.directory_pairs(blocking.directory_buckets(blocking.directory_members(singles), **caps))
     return pairs.select("a", "b", kernels.jaccard("ta", "tb").alias("score")).filter(F.col("score") >= threshold)
 
 
+def name_links(singles: DataFrame, threshold: float = TOKENS) -> DataFrame:
+    """(a, b, score): every link between different token sets of one directory or grandparent that reaches the
+    threshold, between the smallest ids of each set, and from these to the names with the same set. Directories of any size
+    are whole; the components are those of all pairs."""
+    return set_join.similar_sets(blocking.directory_members(singles), ["kind", "dir"], threshold)
+
+
 def mean_jaccard(rows: DataFrame, group: str, size: int = blocks.BLOCK) -> DataFrame:
     """Mean Jaccard similarity of all pairs of tokens within each group. rows: group, id, tokens.
 
@@ -162,15 +170,17 @@ def mean_jaccard(rows: DataFrame, group: str, size: int = blocks.BLOCK) -> DataF
     return out.select(group, ((F.col("alike") + F.coalesce("s", F.lit(0.0))) / (n * (n - 1) / 2)).alias("similarity"))
 
 
-def filename_clusters(files: DataFrame, least: int = 2, threshold: float = TOKENS, **caps: int) -> DataFrame:
+def filename_clusters(files: DataFrame, least: int = 2, threshold: float = TOKENS, exact: bool = True, **caps: int) -> DataFrame:
     """Groups by key, and groups by tokens among single names; files come with their source's priority.
 
-    Similarity is 1 for one key and else the mean over all pairs; notes say which it was.
+    Similarity is 1 for one key and else the mean over all pairs; notes say which it was. All pairs of a
+    directory or grandparent count; ``exact=False`` cuts and leaves out large buckets instead, as the matched
+    semantics do (``caps``: max_bucket, max_sub).
     """
     cands = checkpoint(named(files))
     by_key = name_key_groups(cands, least).select("media_type", "group_id", "id", F.lit(1.0).alias("similarity"), F.lit("resolution_only").alias("notes"))
     singles = name_singletons(cands)
-    edges = checkpoint(name_pairs(singles, threshold, **caps))
+    edges = checkpoint(name_links(singles, threshold) if exact else name_pairs(singles, threshold, **caps))
     rows = connected_components(edges, "a", "b").select(F.col("component").alias("group_id"), F.col("node").alias("id")).join(singles.select("id", "media_type", "tokens"), "id")
     big = rows.groupBy("group_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("group_id")
     rows = rows.join(big, "group_id", "left_semi")

@@ -235,7 +235,7 @@ by_name AS (SELECT min(id) OVER (PARTITION BY media_type, name_key) AS group_id,
 
 @query(sql("SELECT 'video' AS media_type, group_id, round(similarity, 6) AS similarity, notes, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM by_name GROUP BY group_id, similarity, notes", "named", more=",".join([_SINGLE, _DIRS, _BY_NAME])))
 def filename_clusters(spark, d):
-    out = matchers.gathered(matchers.filename_clusters(fx.files_part(spark, d)))
+    out = matchers.gathered(matchers.filename_clusters(fx.files_part(spark, d), exact=False))
     return out.select("media_type", "group_id", F.round("similarity", 6).alias("similarity"), "notes", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -244,7 +244,7 @@ _RANK = f"coalesce(CASE regexp_extract(lower(path), '(?:^|[^a-z0-9])({'|'.join(n
 
 @query(sql(f"SELECT group_id, arg_max(id, (priority, {_RANK}, coalesce(width * height, 0), coalesce(bitrate, 0), size, -id)) AS keeper FROM by_name JOIN parts USING (id) GROUP BY group_id", "named", more=",".join([_SINGLE, _DIRS, _BY_NAME])))
 def keeper_filename(spark, d):
-    return matchers.filename_clusters(fx.files_part(spark, d)).select("group_id", "keeper").distinct()
+    return matchers.filename_clusters(fx.files_part(spark, d), exact=False).select("group_id", "keeper").distinct()
 
 
 @query(sql("SELECT component AS group_id, round(avg(len(list_intersect(x.tokens, y.tokens))::DOUBLE / len(list_distinct(list_concat(x.tokens, y.tokens)))), 6) AS similarity FROM k x JOIN k y USING (component) WHERE x.id < y.id GROUP BY component", "named", more="k AS (SELECT id, tokens, regexp_extract(path, '^(/[^/]*/[^/]*/[^/]*)', 1) AS component FROM named)"))
@@ -256,10 +256,33 @@ def pairwise_group_jaccard(spark, d):
 @query(sql("SELECT count(*) AS candidates, (SELECT count(DISTINCT group_id) FROM by_name WHERE notes = 'resolution_only') AS exact_key_groups, (SELECT count(DISTINCT group_id) FROM by_name WHERE notes = 'name_differs') AS token_set_groups, (SELECT count(*) FROM by_name) AS members FROM named", "named", more=",".join([_SINGLE, _DIRS, _BY_NAME])))
 def filename_stats(spark, d):
     files = fx.files_part(spark, d)
-    found = matchers.matches(checkpoint(matchers.filename_clusters(files)), "filename")
+    found = matchers.matches(checkpoint(matchers.filename_clusters(files, exact=False)), "filename")
     return reports.match_stats(found.groups, found.members, matchers.named(files))
 
 
+# ---------------------------------------------------------------- names, directories whole
+
+_WHOLE = """
+placed AS (SELECT id, list_sort(tokens) AS tokens, 'dir' AS kind, regexp_replace(path, '/[^/]*$', '') AS dir FROM singles
+    UNION ALL SELECT id, list_sort(tokens), 'grandparent', regexp_replace(path, '/[^/]*/[^/]*$', '') FROM singles),
+classes AS (SELECT *, min(id) OVER (PARTITION BY kind, dir, tokens) AS rep FROM placed WHERE len(tokens) > 0),
+reps AS (SELECT * FROM classes WHERE id = rep),
+near AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.tokens, y.tokens))::DOUBLE / len(list_distinct(list_concat(x.tokens, y.tokens))) AS score FROM reps x JOIN reps y USING (kind, dir) WHERE x.id < y.id),
+scored AS (SELECT DISTINCT * FROM (SELECT * FROM near UNION ALL SELECT rep, id, 1.0 FROM classes WHERE id > rep))
+"""
+
+
+@query(sql("SELECT a, b, round(score, 6) AS score FROM scored WHERE score >= 0.5", "named", more=",".join([_SINGLE, _WHOLE])))
+def filename_links(spark, d):
+    singles = matchers.name_singletons(checkpoint(matchers.named(fx.files_part(spark, d))))
+    return matchers.name_links(singles, 0.5).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query(sql("SELECT 'video' AS media_type, group_id, id, round(similarity, 6) AS similarity, notes FROM by_name", "named", more=",".join([_SINGLE, _WHOLE, _BY_NAME])))
+def filename_clusters_whole(spark, d):
+    return matchers.filename_clusters(fx.files_part(spark, d)).select("media_type", "group_id", "id", F.round("similarity", 6).alias("similarity"), "notes")
+
+
 # ---------------------------------------------------------------- marking, previews, plans
 
 
@@ -489,7 +512,7 @@ taken AS (SELECT o.bucket, o.batch, o.proposal, o.confidence, b.id FROM offers o
 
 def _ungrouped(files):
     """Files in no group of the name matcher."""
-    return proposals.ungrouped(files, matchers.filename_clusters(files).select(F.col("id").alias("file_id")))
+    return proposals.ungrouped(files, matchers.filename_clusters(files, exact=False).select(F.col("id").alias("file_id")))
 
 
 def _batched(spark, d):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +19,8 @@ BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it, and bound their batches.
+    """Let Python workers import this package from where the driver has it, bound their batches, and have
+    shuffle files deleted when the query that wrote them ends, as loops write many.
 
     On a cluster that lacks that path the package goes with ``--py-files`` as usual.
     """
@@ -30,6 +30,9 @@ def ready(spark: SparkSession) -> SparkSession:
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not spark.sparkContext.getConf().contains(size):
         spark.conf.set(size, str(BATCH_BYTES))
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if not spark.sparkContext.getConf().contains(clean):
+        spark.conf.set(clean, "true")
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark
 
@@ -113,13 +116,6 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nobody holds any more. It acts on what the
-    driver's garbage collector finds, which otherwise may not run before a loop of large shuffles is over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @contextmanager
 def holding() -> Iterator[None]:
     """Discards at its end all tables that were held or checkpointed within, so results have to be written
