@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinsift.functions import kernels, names
-from twinsift.operators import actions, blocking, changes, graph, keepers, matchers, proposals, reports, source_table
+from twinsift.operators import actions, blocking, changes, graph, keepers, matchers, proposal_pass, proposals, reports, source_table
 from twinsift.plans import fixtures as fx
-from twinsift.runtime import checkpoint, table
+from twinsift.runtime import checkpoint, checkpoint_dir, table
 from twinsift.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -543,6 +545,14 @@ def keeper_llm(spark, d):
     return proposals.proposal_clusters(taken, files).select("group_id", "keeper", "similarity").distinct()
 
 
+@query(sql("SELECT 'video' AS media_type, min(id) OVER (PARTITION BY bucket, batch) AS group_id, id, 0.9::DOUBLE AS similarity FROM (SELECT DISTINCT bucket, batch, id FROM taken)", "named", more=_BATCHED + "," + _TAKEN))
+def llm_pass(spark, d):
+    files = checkpoint(fx.files_part(spark, d))
+    members = matchers.filename_clusters(files, exact=False).select(F.col("id").alias("file_id"))
+    ledger = f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    return proposal_pass.run_pass(files, members, fx.answer, ledger, waves=2).drop("keeper")
+
+
 # ---------------------------------------------------------------- changes
 
 
@@ -695,6 +705,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.preview(actions.selected(checkpoint(groups)), checkpoint(members), files).drop("avg_similarity")
 
 
-@query()
+_OWN = r"\b(cands|centres|at_|pairs|scored|edges|links|reach|parts_of)\b"
+_MATCHED = ",".join([
+    _EXACT,
+    re.sub(_OWN, r"v_\1", ",".join([_VIDEO.format(without=_OUTSIDE), _WINDOW, _VPAIRS, "edges AS (SELECT a, b FROM scored WHERE score <= 12)", _REACH])),
+    re.sub(_OWN, r"a_\1", ",".join([_AUDIO, _WINDOW, _APAIRS, "edges AS (SELECT a, b FROM scored WHERE score >= 0.85)", _REACH])),
+    """matched AS (SELECT media_type, 'exact' AS match_type, sha256 AS g, id FROM (SELECT *, count(*) OVER (PARTITION BY media_type, sha256) AS n FROM files WHERE status = 'done' AND sha256 IS NOT NULL) WHERE n > 1
+    UNION ALL SELECT 'video', 'perceptual', component::VARCHAR, id FROM v_parts_of UNION ALL SELECT 'audio', 'chromaprint', component::VARCHAR, id FROM a_parts_of),
+each AS (SELECT m.media_type, match_type, g, count(*) AS n, sum(size) AS total, max(size) AS largest FROM matched m JOIN files f ON f.id = m.id GROUP BY m.media_type, match_type, g)""",
+])
+
+
+@query(sql(f"SELECT media_type, match_type, {_SUMS} FROM each GROUP BY media_type, match_type", "files", more=_MATCHED))
 def match_and_preview(spark, d):
     return flagship(spark, d)
