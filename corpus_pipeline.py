@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from twinsift.llm import bpe, exact_dedup, language_id, mixing, near_dups
 from twinsift.llm.queries import VOCABULARY
 from twinsift.llm.rows import without
-from twinsift.runtime import checkpoint_dir, holding, keep, ready, table
+from twinsift.runtime import checkpoint_dir, delete, holding, keep, ready, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -75,8 +75,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
         with holding():  # what a stage holds goes once its rows are written
             stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{name}")
         docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)  # no plan reads the stage before any more
+        last = path
     return docs

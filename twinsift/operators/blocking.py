@@ -65,7 +65,7 @@ def directory_buckets(members: DataFrame, max_bucket: int = MAX_BUCKET, max_sub:
     files alone. These bounds are part of the operator: names of a larger cut don't tell files apart.
     """
     sizes = members.groupBy("kind", "dir").agg(F.count("*").alias("held"))
-    first = F.coalesce(F.array_min(F.filter("tokens", lambda t: t.rlike("[a-z]"))), F.array_min("tokens"), F.lit("_empty_"))
+    first = F.coalesce(F.array_min(F.filter("tokens", lambda t: t.rlike(r"\p{L}"))), F.array_min("tokens"), F.lit("_empty_"))
     cut = members.join(sizes.filter("held > 1"), ["kind", "dir"]).withColumn("sub", F.when(F.col("held") > max_bucket, first))
     subs = cut.groupBy("kind", "dir", "sub").agg(F.count("*").alias("n"))
     fits = (F.col("n") > 1) & (F.col("sub").isNull() | (F.col("n") <= max_sub))
