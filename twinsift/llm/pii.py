@@ -2,9 +2,11 @@
 
 The patterns find the protected entities. Over the corpus, the information that a term gives about
 an entity is log p(e|t) / p(e); set against the entity's own information -log p(e) it is the share
-that the term discloses. p(e|t) is smoothed towards p(e), so that rare pairs weigh less, but count.
-Terms of an entity's documents that disclose more than the thresholds allow are generalised or removed
-from the documents that hold the entity.
+that the term discloses. p(e|t) is what the rest of the corpus tells whoever reads one document: the
+smallest of its estimates with one document left out, smoothed towards p(e). So every word beside an
+entity that is seen once proves nothing, and a second text, no copy of the first, proves much.
+Terms that disclose more than the thresholds allow are generalised or removed wherever they stand,
+beside the entity or alone.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.runtime import checkpoint, keep
+from twinsift.runtime import checkpoint
 
 #: Patterns and order of the kinds (fixed values of the contract). Runs are possessive and start at
 #: their first character, which finds the same matches in time proportional to the text.
@@ -30,8 +32,8 @@ GENERALISE, REMOVE = 0.75, 0.9
 SMOOTHING = 2.0
 TERM = r"[\p{L}\p{N}]+"
 BLOCK = 256
-#: Bits of the screen that words pass before they are counted (a fixed size; the counts don't depend on it).
-SLOTS = 1 << 16
+#: Bits a term, and at most, of the screen that words pass before they are joined with terms (results don't depend on it).
+TERM_BITS, SCREEN_BITS = 16, 1 << 20
 
 
 def _sums_before(lengths: Column) -> Column:
@@ -107,79 +109,104 @@ def _bare() -> Column:
     return F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v["value"], F.lit(" ")))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
-    """entity, term, disclosed: terms that give away at least ``generalise`` of an entity's information.
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    ``found``: id (names equal documents alike), text and entities of the documents that hold any.
-    Probabilities are shares of documents of the whole corpus, repeated rows included. What stands within
-    an entity's value is no term.
+
+def _text_key() -> Column:
+    return F.unhex(F.md5("text"))
+
+
+def holders(based: DataFrame) -> DataFrame:
+    """key, entities, terms, copies: the distinct texts that hold an entity, with their terms outside the entities' values."""
+    held = based.withColumn("entities", _entities()).filter(F.size("entities") > 0)
+    each = held.select(_text_key().alias("key"), F.struct(F.array_distinct("entities.entity").alias("entities"), _terms(_bare()).alias("terms")).alias("h"))
+    return each.groupBy("key").agg(F.first("h").alias("h"), F.count("*").alias("copies")).select("key", "h.*", "copies")
+
+
+def _same_texts() -> list[Column]:
+    """What tells sets of texts apart: 128 bits over their keys."""
+    return [F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")]
+
+
+def screen(terms: DataFrame, column: str = "term"):
+    """A test of columns that every term of ``terms`` passes, and few others while there are at most SCREEN_BITS / TERM_BITS."""
+    size = 64
+    most = terms.limit(SCREEN_BITS // TERM_BITS).count() * TERM_BITS
+    while size < most:
+        size *= 2
+    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int")
+    at = terms.select(slot(F.col(column)).alias("slot"))
+    word = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    rows = at.groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(word).alias("bits")).collect()
+    words = [0] * (size // 64)
+    for r in rows:
+        words[r["w"]] = r["bits"]
+    bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    return lambda t: F.bit_get(F.get(bits, F.shiftright(slot(t), 6)), slot(t) % 64) == 1
+
+
+def disclosing_terms(based: DataFrame, found: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """term, disclosed: the terms that give away at least ``generalise`` of some entity's information, and the most they give.
+
+    ``based`` are all documents with their base spans, ``found`` what ``holders`` makes of them. Probabilities
+    are shares of documents, in which equal texts that hold entities are one. What stands within an entity's
+    value is no term. Entities of the same texts share their counts, as do terms, so a page of many numbers
+    and words makes one pair for each two sets of texts and not one for each number and word.
     """
-    n = docs.count()
+    n = based.count() - (found.agg(F.sum(F.col("copies") - 1).alias("c")).first()["c"] or 0)
     p_e = F.col("n_e") / n
-    # a term of more documents discloses less than ``generalise``, even if it is in all those of the entity
-    most = lambda n_e: (n_e + SMOOTHING * n_e / n) / F.pow(n_e / n, F.lit(1 - generalise)) - SMOOTHING + 1e-6
-    distinct = F.explode(F.array_distinct("entities.entity")).alias("entity")
-    n_e = found.select(distinct).groupBy("entity").agg(F.count("*").alias("n_e"))
-    held = checkpoint(found.select("id", distinct).distinct().join(n_e, "entity"))
-    top = held.groupBy("id").agg(F.max("n_e").alias("top"))
-    bare = keep(found.select("id", "text", _bare().alias("bare")))
-    words = bare.select("id", F.explode(_terms("bare")).alias("term"))
-    seen = words.join(top, "id").groupBy("term").agg(F.count("*").alias("n_f"), F.max("top").alias("top"))
+    # with more documents a term discloses less than ``generalise``, even if it is in all those of the entity
+    most = (F.col("n_e") - 1 + SMOOTHING * p_e) / F.pow(p_e, F.lit(1 - generalise)) - SMOOTHING + 1 + 1e-6
+    each = found.select("key", F.explode("entities").alias("entity"))
+    # what only one text holds is left with no evidence when that is left out
+    shared = each.groupBy("entity").agg(F.count("*").alias("n_e"), *_same_texts()).filter("n_e > 1")
+    held = checkpoint(each.join(shared, "entity").select("key", "n_e", F.struct("x", "y").alias("e")).distinct())
+    beside = found.join(held.groupBy("key").agg(F.max("n_e").alias("n_e")), "key").select("key", "n_e", F.explode("terms").alias("term"))
+    seen = beside.groupBy("term").agg(F.count("*").alias("n_f"), F.max("n_e").alias("n_e"), *_same_texts())
     # a term is in no fewer documents than in those that hold entities
-    rare = checkpoint(seen.filter(F.col("n_f") <= most(F.col("top"))).select("term", "top"))
-    # words whose slot no such term has are left out before they are counted
-    slots = rare.select(_slot(F.col("term")).alias("slot")).distinct().collect()
-    words = [0] * (SLOTS // 64)
-    for r in slots:
-        words[r["slot"] // 64] |= 1 << r["slot"] % 64
-    bits = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words])
-    hit = lambda t: F.bit_get(F.get(bits, F.shiftright(_slot(t), 6)), _slot(t) % 64) == 1
-    n_t = docs.select(F.explode(F.filter(_terms(), hit)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    within = bare.select(F.explode(F.filter(F.array_except(_terms(), _terms("bare")), hit)).alias("term")).groupBy("term").agg(F.count("*").alias("n_w"))
-    rare = rare.join(n_t, "term").join(within, "term", "left").withColumn("n_t", F.col("n_t") - F.coalesce("n_w", F.lit(0)))
-    rare = checkpoint(rare.filter(F.col("n_t") <= most(F.col("top"))).select("term", "n_t"))
-    pairs = bare.select("id", F.explode(F.filter(_terms("bare"), hit)).alias("term")).join(rare, "term").join(held, "id").filter(F.col("n_t") <= most(F.col("n_e")))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
-    p_et = (F.col("n_et") + SMOOTHING * p_e) / (F.col("n_t") + SMOOTHING)
+    rare = checkpoint(seen.filter((F.col("n_f") > 1) & (F.col("n_f") <= most)).select("term", "n_e", F.struct("x", "y").alias("t")))
+    hit = screen(rare)
+    others = based.withColumn("entities", _entities()).filter(F.size("entities") == 0).select(F.explode(F.filter(_terms(F.col("text")), hit)).alias("term"))
+    n_t = others.unionAll(found.select(F.explode(F.filter("terms", hit)).alias("term"))).groupBy("term").agg(F.count("*").alias("n_t"))
+    rare = checkpoint(rare.join(n_t, "term").filter(F.col("n_t") <= most).select("term", "t", "n_t"))
+    sets = found.select("key", F.explode(F.filter("terms", hit)).alias("term")).join(rare.select("term", "t"), "term").select("key", "t").distinct()
+    pairs = sets.join(held, "key").groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter("n_et > 1")
+    p_et = (F.col("n_et") - 1 + SMOOTHING * p_e) / (F.col("n_t") - 1 + SMOOTHING)
     share = F.when(p_e < 1, 1 - F.log(p_et) / F.log(p_e)).otherwise(0.0)
-    return pairs.select("entity", "term", share.alias("disclosed")).filter(F.col("disclosed") >= generalise)
+    told = pairs.join(rare, "t").select("term", share.alias("disclosed")).groupBy("term").agg(F.max("disclosed").alias("disclosed"))
+    return told.filter(F.col("disclosed") >= generalise)
 
 
-def _terms(text: str = "text") -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0)))
-
-
-def _slot(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
+def term_spans(based: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, term: for each distinct text that holds any of ``terms`` (term, disclosed) its spans (start, end, value, disclosed), in order."""
+    hit = screen(terms)
+    any_ = based.select("text").filter(F.exists(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: hit(F.lower(w))))
+    tokens = any_.select(_text_key().alias("key"), F.explode(F.filter(find(F.col("text"), F.lit(TERM)), lambda s: hit(F.lower(s["value"])))).alias("s"))
+    # equal texts have the same tokens: one of each goes on
+    tokens = tokens.groupBy("key", "s").agg(F.lit(1).alias("one")).select("key", "s", F.lower("s.value").alias("term"))
+    spans = tokens.join(terms, "term").select("key", F.struct("s.start", "s.end", "s.value", "disclosed").alias("s"))
+    return spans.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("term"))
 
 
 def detect(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """Every document with its base spans by kind and the spans of disclosing terms.
 
     Returns doc_id, text, email, ip, card, phone and term, each an array of (start, end, value); those
-    of ``term`` also hold what they disclose. A null text is empty. Repeated rows are found alike.
+    of ``term`` also hold what they disclose. A null text is empty. Repeated rows and equal texts are found
+    alike, whatever their doc_id. Other columns are not looked at. An empty table gives none.
     """
     based = with_base(docs)
-    name = F.xxhash64("doc_id", "text")
-    found = based.withColumn("entities", _entities()).filter(F.size("entities") > 0).select(name.alias("id"), "text", "entities")
-    found = keep(found)
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,disclosed:double>>")
-    if found.isEmpty():
+    found = checkpoint(holders(based))
+    terms = checkpoint(disclosing_terms(based, found, generalise))
+    if terms.isEmpty():
         return based.withColumn("term", none)
-    terms = checkpoint(disclosing_terms(found, docs, generalise))
-    told = found.select("id", F.explode("entities.entity").alias("entity")).distinct().join(terms, "entity")
-    told = told.groupBy("id", "term").agg(F.max("disclosed").alias("disclosed")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosed"))).alias("told"))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("told"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    out = based.withColumn("id", name).join(told, "id", "left").drop("id")
-    spans = F.transform(find(F.col("text"), pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.col("told")[F.lower(s["value"])].alias("disclosed")))
-    return out.withColumn("term", F.when(F.col("told").isNotNull(), spans).otherwise(none)).drop("told")
+    out = based.withColumn("key", _text_key()).join(term_spans(based, terms), "key", "left").drop("key")
+    return out.withColumn("term", F.coalesce("term", none))
 
 
-def sanitise(found: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """doc_id and the text with entities replaced by their kind, disclosing terms generalised to
-    [NUMBER], [NAME] or [WORD], and those that disclose ``remove`` or more taken out.
-
-    Of spans that overlap the one that starts first, then the longer, is replaced."""
+def _sanitised(remove: float) -> Column:
     put = lambda s: F.when(s["disclosed"] >= remove, "").when(s["value"].rlike(r"^\p{N}"), "[NUMBER]").when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
 
     def named(kind: str) -> Column:
@@ -188,16 +215,36 @@ def sanitise(found: DataFrame, remove: float = REMOVE) -> DataFrame:
     each = [named(k) for k in KINDS]
     each.append(F.transform("term", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), put(s).alias("put"))))
     spans = F.array_sort(F.flatten(F.array(*each)))
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda st, s: F.when(s["start"] < st["at"], st).otherwise(
-        F.struct(F.concat(st["out"], F.substr("text", (st["at"] + 1).cast("int"), (s["start"] - st["at"]).cast("int")), s["put"]).alias("out"), (-s["back"]).alias("at"))
-    )
-    done = F.aggregate(spans, state, step)
-    return found.withColumn("done", done).select("doc_id", F.concat("done.out", F.substr("text", (F.col("done.at") + 1).cast("int"), F.length("text"))).alias("sanitised"))
+    at = F.lit(0).cast("long")
+
+    def block(state: Column, number: Column) -> Column:
+        """Replaces BLOCK spans, in the piece of the text that they reach into."""
+        some = F.slice(spans, number * BLOCK + 1, F.lit(BLOCK))
+        end = F.greatest(state["at"], F.array_max(F.transform(some, lambda s: -s["back"])))
+        piece = F.substr("text", (state["at"] + 1).cast("int"), (end - state["at"]).cast("int"))
+        from_ = state["at"]
+        step = lambda st, s: F.when(s["start"] < st["at"], st).otherwise(
+            F.struct(F.concat(st["out"], F.substr(st["piece"], (st["at"] - st["from"] + 1).cast("int"), (s["start"] - st["at"]).cast("int")), s["put"]).alias("out"), (-s["back"]).alias("at"), st["piece"].alias("piece"), st["from"].alias("from"))
+        )
+        done = F.aggregate(some, F.struct(F.lit("").alias("out"), from_.alias("at"), piece.alias("piece"), from_.alias("from")), step)
+        return F.struct(F.concat(state["out"], done["out"]).alias("out"), done["at"].alias("at"))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
+    done = F.when(F.size(spans) > 0, F.aggregate(numbers, F.struct(F.lit("").alias("out"), at.alias("at")), block)).otherwise(F.struct(F.lit("").alias("out"), at.alias("at")))
+    return F.concat(done["out"], F.substr("text", (done["at"] + 1).cast("int"), F.length("text")))
+
+
+def sanitise(found: DataFrame, remove: float = REMOVE) -> DataFrame:
+    """doc_id and the text with entities replaced by their kind, disclosing terms generalised to
+    [NUMBER], [NAME] or [WORD], and those that disclose ``remove`` or more taken out.
+
+    Of spans that overlap the one that starts first, then the longer, is replaced. A text without spans stays."""
+    return found.select("doc_id", _sanitised(remove).alias("sanitised"))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns and n_term, the number of spans of disclosing terms, of what ``detect`` found.
+    """The contract's columns, n_term, the number of spans of disclosing terms, and the digest of the sanitised
+    text, of what ``detect`` found.
 
     A row for each of ``found``; one without spans has zeros, the digest of an empty string and empty spans.
     """
@@ -213,4 +260,5 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(told(KINDS), 256).alias("base_sha256"),
         told([*KINDS, "term"]).alias("spans"),
         F.size("term").cast("long").alias("n_term"),
+        F.sha2(_sanitised(REMOVE), 256).alias("sanitised_sha256"),
     )
