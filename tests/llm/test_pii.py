@@ -112,7 +112,7 @@ def test_one_sighting_proves_nothing_and_a_second_does(spark):
     assert clean[50] == "what did [NAME] and [NAME] say of text 3"
 
 
-def plain_disclosures(texts, generalise):
+def plain_disclosures(texts, generalise, left_out):
     """term -> the most it discloses, counted pair by pair."""
     held, free = {}, []
     for text in texts:
@@ -134,14 +134,16 @@ def plain_disclosures(texts, generalise):
         for t in {t for names, words in held.values() if e in names for t in words}:
             n_et = sum(e in names and t in words for names, words in held.values())
             n_t = sum(t in words for words in everything)
-            share = 1 - math.log((n_et - 1 + pii.SMOOTHING * p) / (n_t - 1 + pii.SMOOTHING)) / math.log(p) if p < 1 else 0.0
+            if n_et <= left_out:
+                continue
+            share = 1 - math.log((n_et - left_out + pii.SMOOTHING * p) / (n_t - left_out + pii.SMOOTHING)) / math.log(p) if p < 1 else 0.0
             if share >= generalise:
                 out[t] = max(share, out.get(t, 0))
     return out
 
 
-@pytest.mark.parametrize("generalise", [0.75, 0.4])
-def test_disclosures_agree_with_plain_counting(spark, generalise):
+@pytest.mark.parametrize(("generalise", "left_out"), [(0.75, 1), (0.4, 1), (0.75, 0)])
+def test_disclosures_agree_with_plain_counting(spark, generalise, left_out):
     rng = random.Random(11)
     words = [f"w{i}é" for i in range(60)] + [f"Q{i}" for i in range(200)]
     weights = [8] * 60 + [1] * 200
@@ -156,11 +158,11 @@ def test_disclosures_agree_with_plain_counting(spark, generalise):
         texts += [" ".join(text)] * rng.choice([1, 1, 1, 4])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     based = pii.with_base(docs).cache()
-    got = {r["term"]: r["disclosed"] for r in pii.disclosing_terms(based, pii.holders(based), generalise).collect()}
-    want = plain_disclosures(texts, generalise)
+    got = {r["term"]: r["disclosed"] for r in pii.disclosing_terms(based, pii.holders(based), generalise, left_out).collect()}
+    want = plain_disclosures(texts, generalise, left_out)
     assert want and got.keys() == want.keys()
     assert all(abs(got[t] - want[t]) < 1e-9 for t in want)
-    for row in pii.detect(docs, generalise).collect():
+    for row in pii.detect(docs, generalise, left_out).collect():
         spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", row["text"]) if m[0].lower() in want]
         assert [(s["start"], s["end"]) for s in row["term"]] == spans
 

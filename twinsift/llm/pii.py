@@ -3,8 +3,8 @@
 The patterns find the protected entities. Over the corpus, the information that a term gives about
 an entity is log p(e|t) / p(e); set against the entity's own information -log p(e) it is the share
 that the term discloses. p(e|t) is what the rest of the corpus tells whoever reads one document: the
-smallest of its estimates with one document left out, smoothed towards p(e). So every word beside an
-entity that is seen once proves nothing, and a second text, no copy of the first, proves much.
+smallest of its estimates with ``left_out`` documents left out, smoothed towards p(e). So words beside an
+entity that is seen once prove nothing, and a second text, no copy of the first, proves much.
 Terms that disclose more than the thresholds allow are generalised or removed wherever they stand,
 beside the entity or alone.
 """
@@ -30,6 +30,8 @@ HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x
 GENERALISE, REMOVE = 0.75, 0.9
 #: Documents that p(e) weighs as much as in the estimate of p(e|t).
 SMOOTHING = 2.0
+#: Joint sightings left out of each estimate: 1 asks for a second text as evidence, 0 takes one as proof.
+LEFT_OUT = 1
 TERM = r"[\p{L}\p{N}]+"
 BLOCK = 256
 #: Bits a term, and at most, of the screen that words pass before they are joined with terms (results don't depend on it).
@@ -146,7 +148,7 @@ def screen(terms: DataFrame, column: str = "term"):
     return lambda t: F.bit_get(F.get(bits, F.shiftright(slot(t), 6)), slot(t) % 64) == 1
 
 
-def disclosing_terms(based: DataFrame, found: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+def disclosing_terms(based: DataFrame, found: DataFrame, generalise: float = GENERALISE, left_out: int = LEFT_OUT) -> DataFrame:
     """term, disclosed: the terms that give away at least ``generalise`` of some entity's information, and the most they give.
 
     ``based`` are all documents with their base spans, ``found`` what ``holders`` makes of them. Probabilities
@@ -157,22 +159,22 @@ def disclosing_terms(based: DataFrame, found: DataFrame, generalise: float = GEN
     n = based.count() - (found.agg(F.sum(F.col("copies") - 1).alias("c")).first()["c"] or 0)
     p_e = F.col("n_e") / n
     # with more documents a term discloses less than ``generalise``, even if it is in all those of the entity
-    most = (F.col("n_e") - 1 + SMOOTHING * p_e) / F.pow(p_e, F.lit(1 - generalise)) - SMOOTHING + 1 + 1e-6
+    most = (F.col("n_e") - left_out + SMOOTHING * p_e) / F.pow(p_e, F.lit(1 - generalise)) - SMOOTHING + left_out + 1e-6
     each = found.select("key", F.explode("entities").alias("entity"))
-    # what only one text holds is left with no evidence when that is left out
-    shared = each.groupBy("entity").agg(F.count("*").alias("n_e"), *_same_texts()).filter("n_e > 1")
+    # what no more texts hold is left with no evidence
+    shared = each.groupBy("entity").agg(F.count("*").alias("n_e"), *_same_texts()).filter(F.col("n_e") > left_out)
     held = checkpoint(each.join(shared, "entity").select("key", "n_e", F.struct("x", "y").alias("e")).distinct())
     beside = found.join(held.groupBy("key").agg(F.max("n_e").alias("n_e")), "key").select("key", "n_e", F.explode("terms").alias("term"))
     seen = beside.groupBy("term").agg(F.count("*").alias("n_f"), F.max("n_e").alias("n_e"), *_same_texts())
     # a term is in no fewer documents than in those that hold entities
-    rare = checkpoint(seen.filter((F.col("n_f") > 1) & (F.col("n_f") <= most)).select("term", "n_e", F.struct("x", "y").alias("t")))
+    rare = checkpoint(seen.filter((F.col("n_f") > left_out) & (F.col("n_f") <= most)).select("term", "n_e", F.struct("x", "y").alias("t")))
     hit = screen(rare)
     others = based.withColumn("entities", _entities()).filter(F.size("entities") == 0).select(F.explode(F.filter(_terms(F.col("text")), hit)).alias("term"))
     n_t = others.unionAll(found.select(F.explode(F.filter("terms", hit)).alias("term"))).groupBy("term").agg(F.count("*").alias("n_t"))
     rare = checkpoint(rare.join(n_t, "term").filter(F.col("n_t") <= most).select("term", "t", "n_t"))
     sets = found.select("key", F.explode(F.filter("terms", hit)).alias("term")).join(rare.select("term", "t"), "term").select("key", "t").distinct()
-    pairs = sets.join(held, "key").groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter("n_et > 1")
-    p_et = (F.col("n_et") - 1 + SMOOTHING * p_e) / (F.col("n_t") - 1 + SMOOTHING)
+    pairs = sets.join(held, "key").groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") > left_out)
+    p_et = (F.col("n_et") - left_out + SMOOTHING * p_e) / (F.col("n_t") - left_out + SMOOTHING)
     share = F.when(p_e < 1, 1 - F.log(p_et) / F.log(p_e)).otherwise(0.0)
     told = pairs.join(rare, "t").select("term", share.alias("disclosed")).groupBy("term").agg(F.max("disclosed").alias("disclosed"))
     return told.filter(F.col("disclosed") >= generalise)
@@ -189,7 +191,7 @@ def term_spans(based: DataFrame, terms: DataFrame) -> DataFrame:
     return spans.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("term"))
 
 
-def detect(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+def detect(docs: DataFrame, generalise: float = GENERALISE, left_out: int = LEFT_OUT) -> DataFrame:
     """Every document with its base spans by kind and the spans of disclosing terms.
 
     Returns doc_id, text, email, ip, card, phone and term, each an array of (start, end, value); those
@@ -199,7 +201,7 @@ def detect(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     based = with_base(docs)
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,disclosed:double>>")
     found = checkpoint(holders(based))
-    terms = checkpoint(disclosing_terms(based, found, generalise))
+    terms = checkpoint(disclosing_terms(based, found, generalise, left_out))
     if terms.isEmpty():
         return based.withColumn("term", none)
     out = based.withColumn("key", _text_key()).join(term_spans(based, terms), "key", "left").drop("key")
