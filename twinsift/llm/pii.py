@@ -38,13 +38,22 @@ BLOCK = 256
 TERM_BITS, SCREEN_BITS = 16, 1 << 20
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once: what a lambda names is else evaluated anew at each of its calls."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _sums_before(lengths: Column) -> Column:
     """Sum of the elements before each element, by blocks so that long arrays stay cheap."""
     zero = F.lit(0).cast("long")
     scan = lambda a: F.aggregate(a, F.struct(F.array().cast("array<bigint>").alias("out"), zero.alias("sum")), lambda s, x: F.struct(F.array_append(s["out"], s["sum"]).alias("out"), (s["sum"] + x).alias("sum")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: scan(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    starts = scan(F.transform(blocks, lambda b: b["sum"]))["out"]
-    return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.transform(b["out"], lambda x: x + s)))
+    cut = lambda each: F.transform(F.sequence(F.lit(0), F.floor((F.size(each) - 1) / BLOCK).cast("int")), lambda b: scan(F.slice(each, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def join(blocks: Column) -> Column:
+        starts = scan(F.transform(blocks, lambda b: b["sum"]))["out"]
+        return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.transform(b["out"], lambda x: x + s)))
+
+    return _let(lengths, lambda each: _let(cut(each), join))
 
 
 _SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -52,13 +61,16 @@ _SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 def find(text: Column, pattern: Column) -> Column:
     """(start, end, value) of the leftmost matches that don't overlap, in code points."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
+
+    def placed(steps: Column) -> Column:
+        before = _sums_before(F.transform(steps, lambda s: s["b"] + F.length(s["x"])))
+        return F.zip_with(before, steps, lambda o, s: F.struct((o + s["b"]).alias("start"), (o + s["b"] + F.length(s["x"])).alias("end"), s["x"].alias("value")))
+
     # lengths of: what stands before a match, and the match
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, x: F.struct(b.alias("b"), x.alias("x")))
-    before = _sums_before(F.transform(steps, lambda s: s["b"] + F.length(s["x"])))
-    spans = F.zip_with(before, steps, lambda o, s: F.struct((o + s["b"]).alias("start"), (o + s["b"] + F.length(s["x"])).alias("end"), s["x"].alias("value")))
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPAN))
+    steps = lambda found: F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, x: F.struct(b.alias("b"), x.alias("x")))
+    spans = lambda found: F.when(F.size(found) > 0, _let(steps(found), placed)).otherwise(F.array().cast(_SPAN))
+    return _let(F.regexp_extract_all(text, pattern, F.lit(0)), spans)
 
 
 def luhn(digits: Column) -> Column:
@@ -216,24 +228,27 @@ def _sanitised(remove: float) -> Column:
 
     each = [named(k) for k in KINDS]
     each.append(F.transform("term", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), put(s).alias("put"))))
-    spans = F.array_sort(F.flatten(F.array(*each)))
-    at = F.lit(0).cast("long")
-
-    def block(state: Column, number: Column) -> Column:
-        """Replaces BLOCK spans, in the piece of the text that they reach into."""
-        some = F.slice(spans, number * BLOCK + 1, F.lit(BLOCK))
-        end = F.greatest(state["at"], F.array_max(F.transform(some, lambda s: -s["back"])))
-        piece = F.substr("text", (state["at"] + 1).cast("int"), (end - state["at"]).cast("int"))
-        from_ = state["at"]
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def replaced(some: Column, at: Column) -> Column:
+        """``some`` spans replaced in the piece of the text from ``at`` to their end."""
+        end = F.greatest(at, F.array_max(F.transform(some, lambda s: -s["back"])))
+        piece = F.substr("text", (at + 1).cast("int"), (end - at).cast("int"))
         step = lambda st, s: F.when(s["start"] < st["at"], st).otherwise(
             F.struct(F.concat(st["out"], F.substr(st["piece"], (st["at"] - st["from"] + 1).cast("int"), (s["start"] - st["at"]).cast("int")), s["put"]).alias("out"), (-s["back"]).alias("at"), st["piece"].alias("piece"), st["from"].alias("from"))
         )
-        done = F.aggregate(some, F.struct(F.lit("").alias("out"), from_.alias("at"), piece.alias("piece"), from_.alias("from")), step)
-        return F.struct(F.concat(state["out"], done["out"]).alias("out"), done["at"].alias("at"))
+        return F.aggregate(some, F.struct(F.lit("").alias("out"), at.alias("at"), piece.alias("piece"), at.alias("from")), step)
+
+    def whole(spans: Column) -> Column:
+        def block(state: Column, number: Column) -> Column:
+            done = _let(F.slice(spans, number * BLOCK + 1, F.lit(BLOCK)), lambda some: replaced(some, state["at"]))
+            return _let(done, lambda d: F.struct(F.concat(state["out"], d["out"]).alias("out"), d["at"].alias("at")))
+
+        numbers = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
+        return F.when(F.size(spans) > 0, F.aggregate(numbers, start, block)).otherwise(start)
 
-    numbers = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
-    done = F.when(F.size(spans) > 0, F.aggregate(numbers, F.struct(F.lit("").alias("out"), at.alias("at")), block)).otherwise(F.struct(F.lit("").alias("out"), at.alias("at")))
-    return F.concat(done["out"], F.substr("text", (done["at"] + 1).cast("int"), F.length("text")))
+    done = _let(F.array_sort(F.flatten(F.array(*each))), whole)
+    return _let(done, lambda d: F.concat(d["out"], F.substr("text", (d["at"] + 1).cast("int"), F.length("text"))))
 
 
 def sanitise(found: DataFrame, remove: float = REMOVE) -> DataFrame:
