@@ -66,6 +66,16 @@ def test_jaccard_and_rounding(spark):
     assert [r[0] for r in got] == [0, 2, 2, 0]
 
 
+def test_bytes_round_as_printf(spark):
+    rng = random.Random(4)
+    ns = [1280, 1792, 1024 * 1024 - 52, 1024**2 * 5 // 4, 1024**3 * 7 // 4, 2**53 + 2**50, *[rng.randrange(1024, 1 << rng.randrange(11, 62)) for _ in range(2000)]]
+    ns += [(2 * k + 1) * 512 // 10 * 1024 for k in range(10, 3000)] + [1024 * k + 256 * j for k in range(1, 500) for j in (1, 3)]
+    unit = lambda n: next(i for i in (1, 2, 3, 4) if i == 4 or n < 1024 ** (i + 1))
+    want = [f"{float(n) / 1024 ** unit(n):.1f} {' KMGT'[unit(n)]}B" for n in ns]  # Python rounds as C does
+    df = spark.createDataFrame(list(enumerate(ns)), "i long, n long").orderBy("i")
+    assert [r[0] for r in df.select(kernels.human_bytes("n")).collect()] == want
+
+
 def test_human(spark):
     df = spark.createDataFrame([(0,), (1023,), (1024,), (1 << 30,), (5 << 40,), (5000 << 40,), (None,)], "n bigint")
     assert [r[0] for r in df.select(kernels.human_bytes("n")).collect()] == ["0 B", "1023 B", "1.0 KB", "1.0 GB", "5.0 TB", "5000.0 TB", "—"]
