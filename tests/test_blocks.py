@@ -1,7 +1,9 @@
 """Pairs in blocks against plain Python, at block sizes that cut every group."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,36 @@ def test_sequences(spark, size):
     assert pairs_of(blocks.scored(met, blocks.best_match(12))) == pytest.approx({k: s for k, s in want.items() if s <= 12})
 
 
+@pytest.mark.parametrize("lengths", [[16], [1, 2, 5, 16], [3], [20, 40]])
+def test_tiles_are_exact(lengths):
+    rng = np.random.default_rng(6)
+    left, right = ([rng.integers(-(1 << 63), (1 << 63) - 1, rng.choice(lengths), np.int64) for _ in range(n)] for n in (37, 301))
+    right[5], right[7], left[0], left[1], right[300] = left[3], np.array([-1] * 4), np.array([0, -1]), np.array([-1]), left[4]
+    for n in (1, 2, 301):
+        found = {}
+        for s, c, score in blocks.best_match_tiles(left, right[:n]):
+            found |= {(s + i, c + j): score[i, j] for i in range(score.shape[0]) for j in range(score.shape[1])}
+        plain = lambda x: [int(h) & (2**64 - 1) for h in x]
+        some = [(i, j) for i in range(37) for j in range(n) if i < 6 or j in (0, 5, 7, 300)]
+        assert len(found) == 37 * n
+        assert all(found[i, j] == best_match(plain(left[i]), plain(right[j])) for i, j in some)
+
+
+def test_distances_and_closest_without_pairs_as_rows(spark):
+    rows = sequences(90, 7)
+    rows += [(200 + i, 10, rows[4][2]) for i in range(12)] + [(300, 400, [7]), (301, 400, [7]), (302, 400, [9])]
+    df = spark.createDataFrame([(i, float(b), [signed(h) for h in x]) for i, b, x in rows], "id long, duration double, phashes array<long>")
+    files = df.withColumns({"media_type": F.lit("video"), "status": F.lit("done")})
+    want = {k: best_match(x, y) for k, (x, y) in allowed(rows).items()}
+    counts = {r["distance"]: r["n"] for r in matchers.perceptual_distances(files, None).collect()}
+    assert counts == Counter(round(s) for s in want.values())
+    nearest = [tuple(r) for r in matchers.closest_perceptual(files, None, 80).collect()]
+    assert nearest == sorted(((*k, s) for k, s in want.items()), key=lambda r: (r[2], r[0], r[1]))[:80]
+    edges = spark.createDataFrame([k for k, s in want.items() if s <= 18], "a long, b long")
+    parts = {tuple(r) for r in matchers.perceptual_components(files, None, 18).collect()}
+    assert parts == {tuple(r) for r in graph.connected_components(edges, "a", "b").collect()}
+
+
 @pytest.mark.parametrize("least", [None, 0.0, 0.85])
 def test_byte_strings(spark, least):
     rng = random.Random(2)
