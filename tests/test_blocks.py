@@ -164,3 +164,14 @@ def test_mean_jaccard(spark, size):
     df = spark.createDataFrame(rows, "g string, id long, tokens array<string>")
     got = {r["g"]: r["similarity"] for r in matchers.mean_jaccard(df, "g", size).collect()}
     assert got == pytest.approx(want)
+
+
+def test_hamming_pairs_of_a_hot_group_are_many_tasks(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice([1, 1, 1, 2]), signed(rng.getrandbits(64)) if i % 17 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, size long, h long")
+    got = matchers.hamming_pairs(df, "size", "h", size=10).withColumn("p", F.spark_partition_id()).collect()
+    mask = 2**64 - 1
+    want = {(i, j): None if x is None or y is None else ((x ^ y) & mask).bit_count() for i, p, x in rows for j, q, y in rows if i < j and p == q}
+    assert {(r["a"], r["b"]): r["score"] for r in got} == want and len(got) == len(want)
+    assert len({r["p"] for r in got}) >= spark.sparkContext.defaultParallelism
