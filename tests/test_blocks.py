@@ -175,3 +175,12 @@ def test_hamming_pairs_of_a_hot_group_are_many_tasks(spark):
     want = {(i, j): None if x is None or y is None else ((x ^ y) & mask).bit_count() for i, p, x in rows for j, q, y in rows if i < j and p == q}
     assert {(r["a"], r["b"]): r["score"] for r in got} == want and len(got) == len(want)
     assert len({r["p"] for r in got}) >= spark.sparkContext.defaultParallelism
+
+
+def test_bounded_links_have_the_components_of_all_pairs(spark):
+    rng = random.Random(12)
+    rows = [(i, f"/m/{rng.choice('xy')}/{rng.choice('pq')}/{i}.mp4", rng.sample("abcdefg", rng.randrange(0, 6))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, path string, tokens array<string>")
+    parts = lambda f: {tuple(r) for r in graph.connected_components(f(df, 0.8, max_bucket=20, max_sub=25), "a", "b").collect()}
+    assert parts(matchers.bounded_links) == parts(matchers.name_pairs)
+    assert matchers.bounded_links(df, 0.8, max_bucket=20, max_sub=25).count() < matchers.name_pairs(df, 0.8, max_bucket=20, max_sub=25).count()
