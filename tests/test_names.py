@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from twinsift.functions import names
 
 CASES = [
@@ -39,3 +41,9 @@ def test_classes(spark):
     df = spark.createDataFrame([("/a/B.MKV",), ("/a/b.flac",), ("/a/.mp4",), ("/a/x",)], "path string")
     assert [tuple(r) for r in df.select(names.extension("path"), names.media_type_of("path")).collect()] == [("mkv", "video"), ("flac", "audio"), ("", "audio"), ("", "audio")]
     assert set(names.extensions_for("both")) == set(names.VIDEO_EXTENSIONS) | set(names.AUDIO_EXTENSIONS)
+
+
+def test_a_name_is_taken_apart_once(spark):
+    """Not for each token and each look at its neighbours."""
+    plan = spark.range(1).select(names.name_key(F.concat(F.lit("/m/a.b."), "id")).alias("k"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
