@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,25 @@ def test_first_bits_are_no_more_than_unrelated_prints_need(monkeypatch):
     found = {(int(i), int(j)): s for at, to, score in blocks.equal_bits(0.85)({"value_l": left, "value_r": right}) for i, j, s in zip(at, to, score)}
     assert seen == [4, 4]
     assert found == pytest.approx({(i, j): s for i, x in enumerate(left) for j, y in enumerate(right) if (s := equal_bits(x, y)) >= 0.85})
+
+
+def test_a_file_is_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """Blocks grow with the files that a file meets, so what is sent to be scored grows with the files and not with their pairs."""
+    monkeypatch.setattr(blocking, "COPIES", 4)
+    sent = {}
+    for n in (400, 1600):
+        rows = spark.range(n).select("id", F.lit(7).alias("bucket"), F.array(F.col("id")).alias("v"))
+        pairs = blocking.window_blocks(rows, "v", size=10)
+        sent[n] = pairs.agg(F.sum(F.size("id_l") + F.size("id_r"))).first()[0] / n
+        got = blocks.scored(pairs, blocks.best_match()).select("a", "b")
+        assert got.count() == got.distinct().count() == n * (n - 1) // 2
+    assert max(sent.values()) <= 8
+
+
+def test_a_large_pair_of_blocks_is_cut(spark):
+    ids = np.arange(25)
+    same = pd.Series({"id_l": ids, "id_r": ids, "value_l": ids * 2, "value_r": ids * 3, "bucket_l": 1, "same": True})
+    met = [(int(a), int(b)) for r in blocks.cut(same, 10) for a in r["id_l"] for b in r["id_r"] if not r["same"] or a < b]
+    assert sorted(met) == [(a, b) for a in range(25) for b in range(a + 1, 25)]
+    other = [(int(a), int(b)) for r in blocks.cut(pd.Series({**same, "id_r": ids[:5] + 30, "same": False}), 10) for a in r["id_l"] for b in r["id_r"]]
+    assert sorted(other) == [(a, b) for a in range(25) for b in range(30, 35)]
