@@ -219,3 +219,14 @@ def test_a_large_pair_of_blocks_is_cut(spark):
     assert sorted(met) == [(a, b) for a in range(25) for b in range(a + 1, 25)]
     other = [(int(a), int(b)) for r in blocks.cut(pd.Series({**same, "id_r": ids[:5] + 30, "same": False}), 10) for a in r["id_l"] for b in r["id_r"]]
     assert sorted(other) == [(a, b) for a in range(25) for b in range(30, 35)]
+
+
+def test_pairs_are_opened_some_at_a_time(spark):
+    """No generator, which would hold all pairs of two blocks at once; a file without an id pairs with none."""
+    df = spark.createDataFrame([(i if i else None, i % 4) for i in range(40)], "id long, bucket int")
+    out = blocking.duration_window_pairs(df, size=7)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(1, 40) for b in range(a + 1, 40)}
+    met = blocks.scored(blocking.window_blocks(df.withColumn("v", F.array(F.lit(1).cast("long"))), "v", size=7), blocks.best_match())
+    assert sorted((r["a"], r["b"]) for r in met.collect()) == sorted(got)
